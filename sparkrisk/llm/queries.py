@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_codec, token_counts
+from . import digest_index, packing, piece_codec, token_counts, topk_search, url_filter
 from .common import table
 
 
@@ -16,6 +16,59 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The rules of the url query: host, path, verdict. Fixed values.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, default="allow")
+
+
+OP1_SQL = r"""
+WITH parsed AS (
+  SELECT page_id,
+    COALESCE(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    COALESCE(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM (SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parsed) AS judged
+"""
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_index.exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH norm AS (SELECT doc_id, regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, MIN(doc_id) OVER (PARTITION BY t) AS keep_id, CAST(COUNT(*) OVER (PARTITION BY t) AS BIGINT) AS group_size,
+  doc_id = MIN(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM norm
+"""
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=20, scale=64, every=20)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored) AS ranked
+WHERE rank <= 20
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
@@ -29,9 +82,9 @@ def op10_piece_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_token_counts, op7_packing, op10_piece_round_trips]
+    own = [op1_url_filter, op2_exact_dedup, op3_topk_search, op4_token_counts, op7_packing, op10_piece_round_trips]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_topk_search": OP3_SQL}
