@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest_index, packing, piece_codec, token_counts, topk_search, url_filter
+from . import digest_index, packing, piece_codec, quality, token_counts, topk_search, toxicity, url_filter
 from .common import table
 
 
@@ -73,16 +73,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score_documents(documents, quality.model_for(documents, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"), window=2048, closing_id=1)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score_documents(documents, toxicity.model_for(documents, table(spark, sf_dir, "labels")), threshold=0.5)
+
+
 def op10_piece_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trips(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filter, op2_exact_dedup, op3_topk_search, op4_token_counts, op7_packing, op10_piece_round_trips]
+    own = [op1_url_filter, op2_exact_dedup, op3_topk_search, op4_token_counts, op5_quality, op7_packing, op9_toxicity, op10_piece_round_trips]
     return {f.__name__: f for f in own}
 
 
