@@ -133,8 +133,8 @@ def build_index(digests: DataFrame) -> DataFrame:
     return runs_of(runs_of(digests.select("digest", "doc_id", F.lit(1).cast("long"))).repartition(F.col("digest")))
 
 
-def hit_filter(index: DataFrame, bits: int) -> Filter:
-    """Marks of all digests that several rows have; tasks send marks, never digests, and equal marks are merged before they arrive."""
+def hit_filter(digests: DataFrame, bits: int) -> Filter:
+    """Marks of the digests; tasks send marks, never digests, and equal marks are merged before they arrive."""
     slice_bits = 1 << 16
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def hit_filter(index: DataFrame, bits: int) -> Filter:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([*held], type=pa.int64()), pa.array([x.tobytes() for x in held.values()], type=pa.binary())], names=["slice", "marks"])
 
-    parts = index.where("group_size > 1").select("digest").mapInArrow(marks, "slice long, marks binary").repartition(F.col("slice")).mapInArrow(merged, "slice long, marks binary")
+    parts = digests.mapInArrow(marks, "slice long, marks binary").repartition(F.col("slice")).mapInArrow(merged, "slice long, marks binary")
     whole = np.zeros((max(1, bits // slice_bits), min(bits, slice_bits)), dtype=bool)
     for row in parts.toLocalIterator():  # at most `bits` bits in all
         whole[row["slice"]] = np.unpackbits(np.frombuffer(row["marks"], dtype=np.uint8)).astype(bool)
@@ -195,7 +195,7 @@ def exact_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     hashed = norm.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("digest", digest)
     rows = cut(hashed.select("doc_id", "digest", "text_sha256"))
     index = cut(build_index(rows))
-    bad = cut(collisions(hashed.select("digest", "norm"), hit_filter(index, hit_bits)))
+    bad = cut(collisions(hashed.select("digest", "norm"), hit_filter(index.where("group_size > 1").select("digest"), hit_bits)))
     found = rows.join(index, "digest").select("digest", "doc_id", "keep_id", "group_size", "text_sha256")
     if not bad.isEmpty():  # digests of several texts: their groups are formed by the texts
         among = hashed.join(bad, "digest", "left_semi")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import digest_index, packing, piece_codec, quality, token_counts, topk_search, toxicity, url_filter
+from . import digest_index, line_dedup, packing, piece_codec, quality, token_counts, topk_search, toxicity, url_filter
 from .common import table
 
 
@@ -78,6 +79,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents, quality.model_for(documents, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the operator leaves of each document, as a digest."""
+    left = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"), window=2048, closing_id=1)
 
@@ -92,7 +99,7 @@ def op10_piece_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filter, op2_exact_dedup, op3_topk_search, op4_token_counts, op5_quality, op7_packing, op9_toxicity, op10_piece_round_trips]
+    own = [op1_url_filter, op2_exact_dedup, op3_topk_search, op4_token_counts, op5_quality, op6_line_dedup, op7_packing, op9_toxicity, op10_piece_round_trips]
     return {f.__name__: f for f in own}
 
 
