@@ -112,10 +112,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_
     """A row per page: id, host, path, the deciding rule's string or null, and the verdict."""
     index = build(rules)
     name = f"url-rules-{hashlib.sha256(index).hexdigest()[:16]}.bin"
-    folder = tempfile.mkdtemp(prefix="url-rules-")  # read by the driver's file server alone
-    with open(os.path.join(folder, name), "wb") as out:
-        out.write(index)
-    pages.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    context = pages.sparkSession.sparkContext
+    if not any(f.endswith(f"/{name}") for f in context.listFiles):  # the name stands for the content
+        folder = tempfile.mkdtemp(prefix="url-rules-")  # read by the driver's file server alone
+        with open(os.path.join(folder, name), "wb") as out:
+            out.write(index)
+        context.addFile(os.path.join(folder, name))
 
     def work(ids, hosts, paths):
         own = mapped(name)
