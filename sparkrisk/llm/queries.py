@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_index, line_dedup, packing, piece_codec, quality, token_counts, topk_search, toxicity, url_filter
+from . import digest_index, line_dedup, ngram_join, packing, piece_codec, quality, token_counts, topk_search, toxicity, url_filter
 from .common import table
 
 
@@ -89,6 +89,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"), window=2048, closing_id=1)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.score_documents(documents, toxicity.model_for(documents, table(spark, sf_dir, "labels")), threshold=0.5)
@@ -99,7 +103,7 @@ def op10_piece_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filter, op2_exact_dedup, op3_topk_search, op4_token_counts, op5_quality, op6_line_dedup, op7_packing, op9_toxicity, op10_piece_round_trips]
+    own = [op1_url_filter, op2_exact_dedup, op3_topk_search, op4_token_counts, op5_quality, op6_line_dedup, op7_packing, op8_ngram_join, op9_toxicity, op10_piece_round_trips]
     return {f.__name__: f for f in own}
 
 
