@@ -68,12 +68,12 @@ def operating_point(scored: DataFrame, score: str, label: str, budget: float = D
     that many candidate thresholds only (quantiles of the distinct scores), else all. No row if none qualifies with an F1 above 0."""
     table = points(scored, score, label)
     if most is not None:
-        names = candidate_thresholds(scored, score, most)
-        # a candidate between two scores acts like the next score above it
-        marks = table.select("threshold", F.lit(True).alias("real")).unionByName(names.select("threshold", F.lit(False).alias("real")))
-        up = Window.orderBy("threshold", F.desc("real")).rowsBetween(0, Window.unboundedFollowing)
-        acts = marks.select(F.col("threshold").alias("name"), "real", F.min(F.when(F.col("real"), F.col("threshold"))).over(up).alias("threshold")).where("not real")
-        table = acts.select("name", "threshold").distinct().join(table, "threshold").drop("threshold").withColumnRenamed("name", "threshold")
+        # a candidate acts like the lowest score at or above it; of candidates that act alike the highest is named
+        names = sorted(r["threshold"] for r in candidate_thresholds(scored, score, most).collect())  # at most `most` numbers
+        marks = F.array(*[F.lit(x) for x in names])
+        passed = table.withColumn("passed", F.size(F.filter(marks, lambda x: x <= F.col("threshold")))).where("passed > 0")
+        lowest = passed.groupBy("passed").agg(F.min_by(F.struct(*table.columns), "threshold").alias("at"))
+        table = lowest.select(F.element_at(marks, F.col("passed")).alias("threshold"), *[f"at.{c}" for c in table.columns if c != "threshold"])
     fit = table.where((F.col("alert_rate") <= budget) & (F.col("f1") > 0))
     return fit.orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
