@@ -89,6 +89,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"), window=2048, closing_id=1)
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w),
+g AS (SELECT doc_id, len(s) AS size, unnest(s) AS shingle FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g AS a JOIN g AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.size, b.size HAVING 100 * COUNT(*) >= 80 * (a.size + b.size - COUNT(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, MIN(reach.b) AS component_id FROM s JOIN reach ON reach.a = s.doc_id GROUP BY ALL
+"""
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -108,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_topk_search": OP3_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_topk_search": OP3_SQL, "op8_ngram_join": OP8_SQL}
