@@ -1,10 +1,17 @@
-"""Line dedup with an edit join by partition into threshold-plus-one segments; the threshold is one edit.
+"""Line dedup with an edit join by partition into threshold-plus-one segments; the threshold grows with the lines.
 
 Lines are ordered by (doc_id, place of the line's first occurrence in the document). An occurrence of a line of at least `least`
-characters goes if an equal line occurs earlier, or if a line within one edit of it has its first occurrence earlier. Shorter lines
-always stay.
+characters goes if an equal line occurs earlier, or if a line within the threshold of it has its first occurrence earlier. Shorter
+lines always stay. Two lines have a threshold of one edit per `per` characters of the shorter one, and one edit at least; without
+`per` it is one edit for all.
 
-Join: one edit leaves one of a line's two segments whole. A line of length n is indexed under both its segments, with n; as a probe
+Join for t > 1 edits, lines of 2 * per characters or more: t edits cut the shorter line into t + 1 runs at most, so one run of
+(n - t) / (t + 1) characters is whole in both lines. Each line is indexed under the least gram of every window that fits into such a
+run, so the run's least gram is a key of both, wherever it lies. A line of another length has a window of another size, and the
+smaller window finds all that the larger one does. Lines under one key are a pair if length and place differ by t at most. Each is
+first verified against the earliest FIRST_PAIRS of these, and only lines that are not near any of them against all.
+
+Join for one edit: it leaves one of a line's two segments whole. A line of length n is indexed under both its segments, with n; as a probe
 of lines of length n - 1 it selects the one substring per segment that can still match there (from the begin for the first segment,
 from the end for the second). Lines that share a key are candidates, and are verified with a banded bit-parallel edit distance.
 
@@ -20,6 +27,7 @@ an id count as one document: the same line stays in both. Other columns are kept
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +45,9 @@ SEGMENTS = (2, 16)  # then one per character
 MOST_IN_RUN = 64
 LETTERS_AT_ONCE = 1 << 20
 MOST_SEEN = 400_000
+#: Characters per edit of the queries: a line of 250 characters may differ in 8, a word or two.
+CHARS_PER_EDIT = 30
+FIRST_PAIRS = 2
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -123,6 +134,27 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
+def distance(a: str, b: str) -> int:
+    """The edit distance, by bit vectors of b's length, one step per character of a."""
+    if not b:
+        return len(a)
+    places: dict[str, int] = {}
+    for i, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << i
+    mask, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
+    more, less, found = mask, 0, len(b)
+    for c in a:
+        same = places.get(c, 0)
+        down = same | less
+        across = (((same & more) + more) ^ more) | same
+        up = less | (~(across | more) & mask)
+        back = more & across
+        found += 1 if up & top else -1 if back & top else 0
+        up, back = (up << 1 | 1) & mask, back << 1 & mask
+        more, less = back | (~(down | up) & mask), up & down
+    return found
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most `most`: one bit per diagonal of the band, one vector per number of edits."""
     front = common_prefix(a, b)
@@ -131,6 +163,8 @@ def within(a: str, b: str, most: int) -> bool:
     a, b = a[: len(a) - back], b[: len(b) - back]
     if abs(len(a) - len(b)) > most:
         return False
+    if most > 3:
+        return distance(a, b) <= most
     width = 2 * most + 1
     mask = (1 << width) - 1
     # bit d of reach[e]: a[: j + d - most] becomes b[:j] with at most e edits
@@ -155,8 +189,9 @@ def within(a: str, b: str, most: int) -> bool:
 OCCURRENCE = "line binary, doc_id long, line_no int, keys array<long>"
 
 
-def occurrences(texts: DataFrame, least: int) -> DataFrame:
-    """The first occurrence of each line in each document; with the line's keys where the task has not met the line before."""
+def occurrences(texts: DataFrame, least: int, per: int | None = None) -> DataFrame:
+    """The first occurrence of each line in each document; with the line's keys for one edit where the task has not met the line
+    before and the line has no larger threshold with all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -168,7 +203,7 @@ def occurrences(texts: DataFrame, least: int) -> DataFrame:
                     if len(line) >= least and (i := line_id(line)) not in own:
                         own.add(i)
                         ids.append(i), docs.append(doc), numbers.append(no)
-                        keyed.append(i not in seen)
+                        keyed.append(i not in seen and (per is None or len(line) <= 2 * per))
                         if keyed[-1]:
                             seen.add(i)
                             new.append(line)
@@ -292,21 +327,192 @@ def near_lines(texts: DataFrame, occurring: DataFrame, firsts: DataFrame, least:
     return late.union(later_by_letter(cut(hot))).distinct()
 
 
-def dropped_lines(documents: DataFrame, least: int = LEAST_CHARS, bits: int = HIT_BITS) -> DataFrame:
+def edits(size, per: int):
+    return np.maximum(1, size // per)
+
+
+def gram_size(per: int) -> int:
+    """Four fifths of the shortest run that any two lines with a threshold of two edits or more have in common."""
+    return max(1, -(-(2 * per - 2) // 3) * 4 // 5)
+
+
+def window_size(size: int, per: int) -> int:
+    """Grams in the shortest run that a line of this size has in common with a line within their threshold."""
+    low = max(2 * per, size - size // per)
+    most = [n for n in (low, -(-low // per) * per) if n <= size]  # between multiples of per, runs grow
+    return min(-(-(n - n // per) // (n // per + 1)) for n in most) - gram_size(per) + 1
+
+
+def sliding(x: np.ndarray, window: int, least: bool) -> np.ndarray:
+    """Least or largest of x[i : i + window]; what lies behind the end does not count."""
+    pick, fill = (np.minimum, np.uint64(2**64 - 1)) if least else (np.maximum, np.uint64(0))
+    x, have = x.copy(), 1
+    while have < window:
+        step = min(have, window - have)
+        x = pick(x, np.r_[x[step:], np.full(min(step, len(x)), fill)][: len(x)])
+        have += step
+    return x
+
+
+def least_grams(lines: list[str], window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, place) of the least gram of each window of lines that have the same window."""
+    text = Substrings(lines)
+    sizes = text.end - text.begin
+    at = np.arange(int(text.end[-1]))
+    of = np.repeat(np.arange(len(lines)), sizes)
+    left = text.end[of] - at
+    h = np.full(len(at), 2**64 - 1, dtype=np.uint64)
+    whole = left >= k
+    h[whole] = mixed(mixed(text.hash(at[whole], at[whole] + k)) + np.uint64(k)) >> np.uint64(1)
+    low = np.where(left >= k + window - 1, sliding(h, window, least=True), np.uint64(0))
+    held = sliding(low[::-1], window, least=False)[::-1]  # the windows that hold a place begin at it or before
+    picked = np.flatnonzero(whole & (held == h))
+    return h[picked].view(np.int64), of[picked], at[picked] - text.begin[of[picked]]
+
+
+def ref_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+GRAM = "key long, ref long, size int, place int"
+
+
+def gram_rows(texts: DataFrame, least: int, per: int) -> DataFrame:
+    """The keys of all lines with a threshold of two edits or more with some line, once per task."""
+    k = gram_size(per)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches):
+            new: dict[int, list[tuple[int, str]]] = {}
+            for text in batch.column(1).to_pylist():
+                for line in text.split("\n"):
+                    if len(line) >= max(least, 2 * per) and (ref := ref_of(line_id(line))) not in seen:
+                        seen.add(ref)
+                        new.setdefault(window_size(len(line), per), []).append((ref, line))
+            for window, some in new.items():
+                for a, b in batches_of([x for _, x in some]):
+                    key, of, place = least_grams([x for _, x in some[a:b]], window, k)
+                    refs, sizes = np.array([r for r, _ in some[a:b]], dtype=np.int64), np.array([len(x) for _, x in some[a:b]], dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(refs[of]), pa.array(sizes[of]), pa.array(place.astype(np.int32))], names=["key", "ref", "size", "place"])
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+
+    return texts.mapInArrow(run, GRAM)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, cut where it changes: no key lies in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        cut_at = int(np.searchsorted(keys, keys[-1]))
+        if cut_at or (held and held[-1].column(0)[-1].as_py() != keys[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut_at)])
+            held = []
+        held.append(batch.slice(cut_at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_company(grams: DataFrame, per: int) -> DataFrame:
+    """The rows of keys under which different lines lie, without those that have no line of about their size beside them."""
+    dealt = grams.repartition(F.col("key")).sortWithinPartitions("key", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_runs(batches):
+            key, ref, size = (part.column(i).to_numpy() for i in range(3))
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            counts = np.diff(np.r_[first, len(key)])
+            several = np.repeat(np.minimum.reduceat(ref, first) != np.maximum.reduceat(ref, first), counts)
+            near = (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= edits(size[:-1], per))
+            keep = several & (np.r_[near, False] | np.r_[False, near])
+            yield from part.filter(pa.array(keep)).to_batches()
+
+    return dealt.mapInArrow(run, GRAM)
+
+
+def earlier_pairs(rows: DataFrame, per: int, most: int | None) -> DataFrame:
+    """(line, other): each open line with the earliest `most` (or all) lines before it that its keys, length and place allow.
+    rows: key, doc_id, line_no, line, size, place, open."""
+    order = ["key", "doc_id", "line_no", "line", "place"]
+    dealt = rows.select(*order, "size", "open").repartition(F.col("key")).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_runs(batches):
+            key, place, size, still = (part.column(c).to_numpy() for c in ("key", "place", "size", "open"))
+            lines = part.column("line").to_pylist()
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            pairs: set[tuple[bytes, bytes]] = set()
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+                for i in range(a + 1, b):
+                    if still[i]:
+                        t = edits(np.minimum(size[a:i], size[i]), per)
+                        fit = np.flatnonzero((np.abs(size[a:i] - size[i]) <= t) & (np.abs(place[a:i] - place[i]) <= t))
+                        pairs.update((lines[i], lines[a + j]) for j in fit[:most].tolist() if lines[i] != lines[a + j])
+                        if len(pairs) > 50_000:
+                            yield pair_batch(pairs)
+                            pairs = set()
+            yield pair_batch(pairs)
+
+    return dealt.mapInArrow(run, "line binary, other binary").distinct()
+
+
+def pair_batch(pairs: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], type=pa.binary()) for k in (0, 1)], names=["line", "other"])
+
+
+def verified(pairs: DataFrame, pool: DataFrame, per: int) -> DataFrame:
+    """The first lines of the pairs that are within their threshold."""
+    texts = pool.select("line", "text")
+    both = pairs.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("text").alias("other_text")), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for line, a, b in zip(*columns_of(batch), strict=True):
+                most = int(edits(min(len(a), len(b)), per))
+                x, y = Counter(a), Counter(b)
+                if (x - y).total() <= most and (y - x).total() <= most and within(a, b, most):
+                    out.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["line"])
+
+    return both.select("line", "text", "other_text").mapInArrow(run, "line binary").distinct()
+
+
+def near_long_lines(texts: DataFrame, firsts: DataFrame, least: int, bits: int, per: int) -> DataFrame:
+    """The lines that have an earlier line within a threshold of two edits or more."""
+    found = cut(in_company(gram_rows(texts, least, per), per).distinct())
+    numbered = firsts.withColumn("ref", F.conv(F.hex(F.substring("line", 1, 8)), 16, -10).cast("long"))
+    wanted = cut(numbered.join(found.select("ref").distinct(), "ref", "left_semi").select("ref", "line", "doc_id", "line_no"))
+    seen = lines_among(texts, hit_filter(wanted.select(F.col("line").alias("digest")), bits), least)
+    pool = cut(seen.join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")))
+    rows = cut(found.join(wanted, "ref").drop("ref"))
+    late = cut(verified(earlier_pairs(rows.withColumn("open", F.lit(True)), per, FIRST_PAIRS), pool, per))
+    rest = rows.join(late.withColumn("late", F.lit(True)), "line", "left").withColumn("open", F.col("late").isNull())
+    return late.union(verified(earlier_pairs(rest, per, None), pool, per))
+
+
+def dropped_lines(documents: DataFrame, least: int = LEAST_CHARS, bits: int = HIT_BITS, per: int | None = None) -> DataFrame:
     """(doc_id, lines): ids of the lines that leave a document. documents: doc_id, text."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    occurring = cut(occurrences(texts, least))
+    occurring = cut(occurrences(texts, least, per))
     firsts = occurring.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     firsts = cut(firsts.select("line", "first.doc_id", "first.line_no", (F.col("low") != F.col("high")).alias("repeated")))
-    near = near_lines(texts, occurring, firsts, least, bits).withColumn("near", F.lit(True))
+    near = near_lines(texts, occurring, firsts, least, bits)
+    if per is not None:
+        near = near.union(near_long_lines(texts, firsts, least, bits, per)).distinct()
+    near = near.withColumn("near", F.lit(True))
     marked = firsts.join(near, "line", "left").where("repeated or near").select("line", F.col("doc_id").alias("first_doc"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = occurring.select("line", "doc_id").join(marked, "line").where(F.col("near") | (F.col("doc_id") != F.col("first_doc")))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
-def without_repeated_lines(documents: DataFrame, least: int = LEAST_CHARS, bits: int = HIT_BITS) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, least: int = LEAST_CHARS, bits: int = HIT_BITS, per: int | None = None) -> DataFrame:
     """The documents with the lines that stay, and n_lines and n_dropped; n_chars, where there is one, is that of the new text."""
-    drops = dropped_lines(documents, least, bits).select(F.col("doc_id").alias("_of"), F.col("lines").alias("_lines"))
+    drops = dropped_lines(documents, least, bits, per).select(F.col("doc_id").alias("_of"), F.col("lines").alias("_lines"))
     joined = documents.join(drops, F.col("doc_id").cast("long") == F.col("_of"), "left").drop("_of")
     at, ids, gone = documents.columns.index("text"), documents.columns.index("doc_id"), len(documents.columns)
     kept = joined.select(*documents.columns, "_lines")

@@ -81,7 +81,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the operator leaves of each document, as a digest."""
-    left = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    left = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"), per=line_dedup.CHARS_PER_EDIT)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"))
 
 

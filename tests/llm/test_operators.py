@@ -245,6 +245,50 @@ def test_line_dedup(spark, monkeypatch, most):
     assert out.columns == ["doc_id", "text", "source", "n", "n_lines", "n_dropped"]
 
 
+def test_distance():
+    rng = random.Random(4)
+    for _ in range(2000):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(20))) for _ in range(2))
+        assert line_dedup.distance(a, b) == helpers.distance(a, b)
+        assert all(line_dedup.within(a, b, k) == (helpers.distance(a, b) <= k) for k in (4, 6))
+
+
+@pytest.mark.parametrize("per", [10, 30])
+def test_line_dedup_threshold_grows(spark, per):
+    """Lines of all lengths with edits around their threshold, against all pairs."""
+    rng = random.Random(per)
+    base = ["".join(rng.choices("abcdefgh ", k=rng.randrange(15, 9 * per))) for _ in range(10)]
+
+    def changed(line):
+        letters = list(line)
+        for _ in range(rng.randrange(0, max(1, len(line) // per) + 2)):
+            k, kind = rng.randrange(len(letters)), rng.randrange(3)
+            letters[k : k + (kind != 1)] = [] if kind == 2 else [rng.choice("abcdexyz")]
+        return "".join(letters)
+
+    docs = ["\n".join(changed(rng.choice(base)) for _ in range(rng.randrange(0, 4))) for _ in range(60)] + [None]
+    out = line_dedup.without_repeated_lines(frame(spark, docs).repartition(4), bits=1 << 16, per=per)
+    got = {r["doc_id"]: r["text"] or "" for r in out.collect()}
+    first = {}
+    for d, text in enumerate(docs):
+        for n, line in enumerate((text or "").split("\n")):
+            if len(line) >= line_dedup.LEAST_CHARS:
+                first.setdefault(line, (d, n))
+    order = sorted(first, key=first.get)
+    t = lambda x, y: max(1, min(len(x), len(y)) // per)
+    near = {x for k, x in enumerate(order) if any(abs(len(x) - len(y)) <= t(x, y) and helpers.distance(x, y) <= t(x, y) for y in order[:k])}
+    assert any(all(abs(len(x) - len(y)) > 1 or helpers.distance(x, y) > 1 for y in order[: order.index(x)]) for x in near)
+    for d, text in enumerate(docs):
+        seen, kept = set(), []
+        for line in (text or "").split("\n"):
+            if len(line) >= line_dedup.LEAST_CHARS:
+                if line in near or first[line][0] != d or line in seen:
+                    continue
+                seen.add(line)
+            kept.append(line)
+        assert got[d] == "\n".join(kept)
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.without_repeated_lines(frame(spark, []), bits=1 << 16).count() == 0
     assert line_dedup.without_repeated_lines(frame(spark, ["x" * 30, None], ids=[None, 1]), bits=1 << 16).count() == 2
