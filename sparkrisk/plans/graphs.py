@@ -15,6 +15,7 @@ from .registry import query
 
 #: One key reaches most accounts within a month here, so the lookback is a day.
 CFG = replace(GRAPH, lookback=DAY)
+#: Snapshots of the queries that have SQL, whose calendar stands in the SQL.
 FIRST, LAST = 1_704_153_600_000, 1_704_672_000_000
 CAL = f"cal AS (SELECT unnest(range({FIRST}, {LAST + 1}, {DAY})) AS snapshot_ms)"
 MEMBERS = f"""{CAL}, placed AS (SELECT snapshot_ms, account_id, device_id, ip FROM e, cal WHERE ms < snapshot_ms AND ms >= snapshot_ms - {DAY}),
@@ -24,8 +25,21 @@ EDGES = f"""{MEMBERS}, links AS (SELECT a.snapshot_ms, a.account_id AS u, b.acco
 sym AS (SELECT snapshot_ms, u, v, weight FROM links UNION ALL SELECT snapshot_ms, v, u, weight FROM links)"""
 
 
+def whole_span(spark, sf_dir):
+    """First and last snapshot of the table: the days' ends after its first event, up to its last one."""
+    low, high = D.events(spark, sf_dir).agg(F.min("ms"), F.max("ms")).first()
+    if low is None:
+        return FIRST, FIRST
+    first = (low // DAY + 1) * DAY
+    return first, max(first, high // DAY * DAY)
+
+
 def members(spark, sf_dir):
-    return G.memberships(G.in_lookback(D.events(spark, sf_dir), G.calendar(spark, FIRST, LAST, CFG), CFG), CFG)
+    return members_of(spark, sf_dir, FIRST, LAST)
+
+
+def members_of(spark, sf_dir, first, last):
+    return G.memberships(G.in_lookback(D.events(spark, sf_dir), G.calendar(spark, first, last, CFG), CFG), CFG)
 
 
 def links(spark, sf_dir):
@@ -92,21 +106,19 @@ def snapshot_seeds(spark, sf_dir):
     return G.seed_accounts(early, D.events(spark, sf_dir), G.calendar(spark, FIRST, LAST, CFG))
 
 
-def early_labels(spark, sf_dir):
-    return D.labels(spark, sf_dir).withColumn("label_ms", F.col("label_ms") - CFG.label_delay)
-
-
 @query()
 def personalised_pagerank(spark, sf_dir):
-    cal = G.calendar(spark, FIRST, LAST, CFG)
-    found = G.personalised_pagerank(kept(links(spark, sf_dir)), G.seed_accounts(early_labels(spark, sf_dir), D.events(spark, sf_dir), cal), CFG)
+    first, last = whole_span(spark, sf_dir)
+    seeds = G.seed_accounts(D.labels(spark, sf_dir), D.events(spark, sf_dir), G.calendar(spark, first, last, CFG))
+    found = G.personalised_pagerank(kept(G.edges(members_of(spark, sf_dir, first, last))), seeds, CFG)
     return found.withColumn("ppr_risk", F.round("ppr_risk", 6))
 
 
 @query()
 def graph_snapshots(spark, sf_dir):
     """All six features of all accounts in each snapshot, communities by local moves on modularity."""
-    return G.snapshot_features(D.events(spark, sf_dir), early_labels(spark, sf_dir), D.accounts(spark, sf_dir), G.calendar(spark, FIRST, LAST, CFG), CFG)
+    cal = G.calendar(spark, *whole_span(spark, sf_dir), CFG)
+    return G.snapshot_features(D.events(spark, sf_dir), D.labels(spark, sf_dir), D.accounts(spark, sf_dir), cal, CFG)
 
 
 SNAPS = f"{EDGES}, snaps AS (SELECT snapshot_ms, u AS account_id, CAST(SUM(weight) AS DOUBLE) AS graph_degree FROM sym GROUP BY ALL)"
@@ -125,6 +137,7 @@ def training_table(spark, sf_dir):
     """Features, graph features and labels of every event."""
     from .features import hot
 
-    days = list(range(FIRST, LAST + 1, DAY))
+    first, last = whole_span(spark, sf_dir)
+    days = list(range(first, last + 1, DAY))
     snaps = kept(graph_snapshots(spark, sf_dir))
     return joins.training_table(hot(spark, sf_dir), snaps, days, D.labels(spark, sf_dir), CFG)

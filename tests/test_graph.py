@@ -97,3 +97,31 @@ def test_seeds_and_due(spark):
     events = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "txn_id long, account_id string")
     assert [r["account_id"] for r in graph.seed_accounts(labels, events, graph.calendar(spark, T, T)).collect()] == ["B"]
     assert graph.next_due(T + DAY, T) == T + DAY and graph.next_due(T + DAY - 1, T) is None and graph.next_due(None, T) is None
+
+
+def test_snapshots_of_the_whole_table(spark, monkeypatch):
+    """Each event after the first day has a snapshot less than a day old, and seeds keep the labels' delay. Ranks are left out."""
+    from pyspark.sql import functions as F
+
+    from sparkrisk.plans import queries as engine
+    from sparkrisk.sources import driver
+
+    from .conftest import SMALL
+
+    given = []
+
+    def unranked(links, seeds, cfg):
+        given.append((links, seeds))
+        return graph.degrees(links).select("snapshot_ms", "account_id", F.lit(0.0).alias("ppr_risk"))
+
+    monkeypatch.setattr(graph, "personalised_pagerank", unranked)
+    ms = [r["ms"] for r in driver.events(spark, SMALL).select("ms").collect()]
+    days = list(range((min(ms) // DAY + 1) * DAY, max(ms) // DAY * DAY + 1, DAY))
+    assert len(days) > 20
+    table = engine.queries()["training_table"](spark, SMALL).select((F.col("ms") - F.col("graph_snapshot_ms")).alias("age"), "ms").collect()
+    assert len(table) == len(ms) and all(r["age"] is None if r["ms"] < days[0] else 0 <= r["age"] < DAY for r in table)
+    engine.queries()["personalised_pagerank"](spark, SMALL)
+    for links, seeds in given:
+        assert links.agg(F.max("snapshot_ms")).first()[0] > days[0] + 7 * DAY
+        assert seeds.agg(F.min("snapshot_ms")).first()[0] > min(ms) + GRAPH.label_delay
+    assert len(given) == 2
