@@ -36,8 +36,8 @@ HAVERSINE = "2 * 6371.0 * asin(sqrt(least(1.0, greatest(0.0, power(sin((radians(
 HOME, MOVE = HAVERSINE.format(a="home_lat", b="lat", c="home_lon", d="lon"), HAVERSINE.format(a="last_lat", b="lat", c="last_lon", d="lon")
 CONTEXT = "round(ln(1 + amount), 6) AS log_amount, CAST(h AS INT) AS hour_of_day, CASE WHEN h < 5 THEN 1 ELSE 0 END AS is_night, CASE WHEN channel = 'ONLINE' THEN 1 ELSE 0 END AS is_online, CASE WHEN country <> 'IN' THEN 1 ELSE 0 END AS is_international"
 DEVIATION = """round(CASE WHEN last_ms IS NULL THEN 2592000.0 ELSE least((ms - last_ms) / 1000.0, 2592000.0) END, 3) AS secs_since_last,
-  round(3.3e-8 + CASE WHEN n_ok >= 3 THEN greatest(-10.0, least(50.0, (amount - s_ok / n_ok) / greatest(sd, 0.25 * s_ok / n_ok, 50.0))) ELSE 0.0 END, 6) AS amount_zscore,
-  round(CASE WHEN n_ok > 0 AND s_ok / n_ok > 0 THEN least(amount / (s_ok / n_ok), 100.0) ELSE 1.0 END, 4) AS amount_to_mean,
+  round(CASE WHEN n_ok >= 3 THEN greatest(-10.0, least(50.0, (amount - s_ok / n_ok) / greatest(sd, 0.25 * s_ok / n_ok, 50.0))) ELSE 0.0 END, 10) AS amount_zscore,
+  round(CASE WHEN n_ok > 0 AND s_ok / n_ok > 0 THEN least(amount / (s_ok / n_ok), 100.0) ELSE 1.0 END, 10) AS amount_to_mean,
   round(1.0 - CAST(n_bucket + 1 AS DOUBLE) / (n_all + 6), 6) AS hour_unusualness, n_all AS acct_history_cnt"""
 NOVELTY = f"""round(COALESCE((ms - created_ms) / 86400000.0, 0.0), 6) AS account_age_days, CASE WHEN device_ms IS NULL OR device_ms < last_ms - 7776000000 THEN 1 ELSE 0 END AS new_device,
   CASE WHEN merchant_n = 1 THEN 1 ELSE 0 END AS new_merchant, CASE WHEN city_n = 1 AND NOT COALESCE(city = home_city, FALSE) THEN 1 ELSE 0 END AS new_city,
@@ -56,15 +56,12 @@ COUNTS = [
 FANOUT = ", ".join(last_use(c.name, c.entity, c.member, c.width) for c in COUNTS)
 FANOUT_JOINS = " ".join(f"JOIN {c.name} ON {c.name}.id = f.txn_id" for c in COUNTS)
 FANOUT_COLUMNS = ", ".join(f"COALESCE({c.name}.{c.name}, 0) AS {c.name}" for c in COUNTS)
-ROUNDED = {"log_amount": 6, "acct_amt_24h": 4, "secs_since_last": 3, "amount_zscore": 6, "amount_to_mean": 4, "hour_unusualness": 6, "account_age_days": 6, "km_from_home": 4, "geo_speed_kmh": 3}
-
-
-#: Added before rounding where exact halves are common, which engines round differently.
-NUDGED = {"amount_zscore": 3.3e-8}
+#: Places of the compared columns; ratios get so many that no exact half occurs, which engines round differently.
+ROUNDED = {"log_amount": 6, "acct_amt_24h": 4, "secs_since_last": 3, "amount_zscore": 10, "amount_to_mean": 10, "hour_unusualness": 6, "account_age_days": 6, "km_from_home": 4, "geo_speed_kmh": 3}
 
 
 def rounded(frame, *columns):
-    return frame.select(*[F.round(F.col(c) + NUDGED.get(c, 0.0), ROUNDED[c]).alias(c) if c in ROUNDED else F.col(c) for c in columns])
+    return frame.select(*[F.round(c, ROUNDED[c]).alias(c) if c in ROUNDED else F.col(c) for c in columns])
 
 
 @query(D.with_ctes(f"SELECT txn_id, account_id, ms, {VELOCITY}, CASE WHEN COUNT(*) OVER ({M5}) >= 1 THEN 1 ELSE 0 END AS r1_velocity FROM e"))
@@ -213,9 +210,9 @@ def order_violations(spark, sf_dir):
     return predicates.order_violations(shuffled, "ms", "txn_id")
 
 
-@query(D.with_ctes("SELECT txn_id, round(6371.0 * 2 * asin(sqrt(least(1.0, greatest(0.0, power(sin(radians(lat - 20) / 2), 2) + cos(radians(20)) * cos(radians(lat)) * power(sin(radians(lon - 77) / 2), 2))))), 3) AS km, round(1 / (1 + exp(-(amount - 50) / 25)), 8) AS p, greatest(least(amount, 80.0), 20.0) AS clipped, (ms // 3600000) % 24 AS hour, 'T' || lpad(CAST(txn_id AS VARCHAR), 7, '0') AS name, ms // 1000 AS s, sha256(CAST(txn_id AS VARCHAR)) AS digest, round(0.7 * amount + 0.3 * lat, 6) AS mixed, 'Paid ' || CAST(CAST(round(amount, 0) AS BIGINT) AS VARCHAR) || ' in all' AS said, CASE WHEN amount < 10 THEN 'live' WHEN amount < 60 THEN 'late' ELSE 'down' END AS beat FROM e WHERE amount * 10 % 10 <> 5"))
+@query(D.with_ctes("SELECT txn_id, round(6371.0 * 2 * asin(sqrt(least(1.0, greatest(0.0, power(sin(radians(lat - 20) / 2), 2) + cos(radians(20)) * cos(radians(lat)) * power(sin(radians(lon - 77) / 2), 2))))), 3) AS km, round(1 / (1 + exp(-(amount - 50) / 25)), 8) AS p, greatest(least(amount, 80.0), 20.0) AS clipped, (ms // 3600000) % 24 AS hour, 'T' || lpad(CAST(txn_id AS VARCHAR), 7, '0') AS name, ms // 1000 AS s, sha256(CAST(txn_id AS VARCHAR)) AS digest, round(0.7 * amount + 0.3 * lat, 6) AS mixed, 'Paid ' || CAST(CAST(round_even(amount, 0) AS BIGINT) AS VARCHAR) || ' in all' AS said, CASE WHEN amount < 10 THEN 'live' WHEN amount < 60 THEN 'late' ELSE 'down' END AS beat FROM e"))
 def scalar_functions(spark, sf_dir):
-    e = D.events(spark, sf_dir).where("amount * 10 % 10 <> 5")
+    e = D.events(spark, sf_dir)
     return e.select(
         "txn_id", F.round(S.haversine_km(F.lit(20.0), F.lit(77.0), F.col("lat"), F.col("lon")), 3).alias("km"), F.round(S.logistic((F.col("amount") - 50) / 25), 8).alias("p"), S.clip("amount", 20.0, 80.0).alias("clipped"),
         S.hour_of("ms").cast("long").alias("hour"), S.padded_id("T", "txn_id").alias("name"), S.seconds("event_time").alias("s"), S.sha256("txn_id").alias("digest"), F.round(S.blend("amount", "lat", 0.7), 6).alias("mixed"), S.template("Paid {value:.0f} in all", "amount").alias("said"), S.heartbeat("amount").alias("beat"),

@@ -69,9 +69,9 @@ def best_blend_weight(spark, sf_dir):
     return metrics.best_weight(runs).withColumn("mean_recall", F.round("mean_recall", 8))
 
 
-@query(D.with_ctes("SELECT txn_id, CAST(CAST(round(lat, 0) AS BIGINT) AS VARCHAR) || ' payments in the previous hour' AS text, CASE WHEN amount >= lon AND amount >= 50 THEN 'a' WHEN lon > 50 THEN 'b' ELSE 'a' END AS best FROM e WHERE lat * 10 % 10 <> 5"))
+@query(D.with_ctes("SELECT txn_id, CAST(CAST(round_even(lat, 0) AS BIGINT) AS VARCHAR) || ' payments in the previous hour' AS text, CASE WHEN amount >= lon AND amount >= 50 THEN 'a' WHEN lon > 50 THEN 'b' ELSE 'a' END AS best FROM e"))
 def rendered_reasons(spark, sf_dir):
     """A reason's text, and the larger of two contributions."""
-    e = D.events(spark, sf_dir).where("lat * 10 % 10 <> 5")
+    e = D.events(spark, sf_dir)
     pair = F.array(F.struct(F.lit("a").alias("name"), (F.col("amount") - 0.0).alias("value")), F.struct(F.lit("b").alias("name"), F.greatest(F.col("lon"), F.lit(50.0)).alias("value")))
     return e.withColumn("contributions", pair).select("txn_id", reasons.sentence("acct_cnt_1h", F.col("lat")).alias("text"), reasons.top(k=1)[0]["name"].alias("best"))

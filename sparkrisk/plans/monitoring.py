@@ -234,9 +234,9 @@ def decision_counts(spark, sf_dir):
     return A.group_counts(scored(spark, sf_dir), "decision")
 
 
-@query(D.with_ctes("SELECT DISTINCT round(threshold, 8) AS threshold FROM (SELECT unnest(quantile_cont(risk, [" + ", ".join(str(k / 16) for k in range(17)) + "])) AS threshold FROM (SELECT DISTINCT risk FROM scored) AS r) AS t", SCORED))
+@query(D.with_ctes("SELECT DISTINCT round(threshold, 12) AS threshold FROM (SELECT unnest(quantile_cont(risk, [" + ", ".join(str(k / 16) for k in range(17)) + "])) AS threshold FROM (SELECT DISTINCT risk FROM scored) AS r) AS t", SCORED))
 def candidate_thresholds(spark, sf_dir):
-    return rounded(metrics.candidate_thresholds(scored(spark, sf_dir), "risk", 17), 8, "threshold")
+    return rounded(metrics.candidate_thresholds(scored(spark, sf_dir), "risk", 17), 12, "threshold")
 
 
 @query(D.with_ctes("SELECT ms, txn_id, account_id, NULL AS note, 'past' AS part FROM e WHERE ms < 1705276800000 UNION ALL SELECT ms, txn_id, account_id, 'live', 'live' FROM e WHERE ms >= 1705276800000 AND ms < 1705968000000"))
