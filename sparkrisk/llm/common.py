@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A piece of an Arrow batch that is handled at once, so that rows of long texts do not pile up as Python objects.
 ROWS_AT_ONCE = 1000
@@ -54,9 +55,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}"))
 
 
+#: A key is hot if it holds more than one of so many rows, so that fewer keys than this can be hot.
+HOT_SHARE = 500
+
+
+def hot_keys(counted: DataFrame, key: str, rows: int) -> DataFrame:
+    """The hot keys among rows (key, n) that count `rows` rows in all: fewer than HOT_SHARE, known to the driver."""
+    spark = counted.sparkSession
+    found = counted.where((F.col("n") > max(100, rows // HOT_SHARE)) & F.col(key).isNotNull()).select(key)
+    return spark.createDataFrame(found.collect(), found.schema)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which have one row per key at most. The facts of the hot keys are broadcast, so that no key gathers
+    more than a small share of the rows in one task."""
+    hot = F.broadcast(hot)
+    among = rows.join(hot, key, "left_semi").join(F.broadcast(facts.join(hot, key, "left_semi")), key, how)
+    return among.unionByName(rows.join(hot, key, "left_anti").join(facts, key, how))
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """The name, or with underscores behind it a name, that no column has; names differ in more than case."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder: later jobs read them there, also after executors are lost."""
     ensure_checkpoint_dir(frame.sparkSession)

@@ -48,7 +48,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH norm AS (SELECT doc_id, regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents WHERE doc_id IS NOT NULL)
 SELECT doc_id, MIN(doc_id) OVER (PARTITION BY t) AS keep_id, CAST(COUNT(*) OVER (PARTITION BY t) AS BIGINT) AS group_size,
-  doc_id = MIN(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+  doc_id = MIN(doc_id) OVER (PARTITION BY t) AND row_number() OVER (PARTITION BY t, doc_id) = 1 AS kept, sha256(t) AS text_sha256
 FROM norm
 """
 
