@@ -1,19 +1,23 @@
 """Line dedup with an edit join by partition into threshold-plus-one segments; the threshold grows with the lines.
 
-Lines are ordered by (doc_id, place of the line's first occurrence in the document). An occurrence of a line of at least `least`
-characters goes if an equal line occurs earlier, or if a line within the threshold of it has its first occurrence earlier. Shorter
-lines always stay. Two lines have a threshold of one edit per `per` characters of the shorter one, and one edit at least; without
-`per` it is one edit for all.
-
-Join for t > 1 edits, lines of 2 * per characters or more: t edits cut the shorter line into t + 1 runs at most, so one run of
-(n - t) / (t + 1) characters is whole in both lines. Each line is indexed under the least gram of every window that fits into such a
-run, so the run's least gram is a key of both, wherever it lies. A line of another length has a window of another size, and the
-smaller window finds all that the larger one does. Lines under one key are a pair if length and place differ by t at most. Each is
-first verified against the earliest FIRST_PAIRS of these, and only lines that are not near any of them against all.
+Lines are ordered by (doc_id, place of the line's first occurrence in the document). An occurrence of a line goes if an equal line
+occurs earlier, whatever its length, or, for lines of at least `least` characters, if a line within the threshold of it has its first
+occurrence earlier. Blank lines (empty, or white space alone) part paragraphs and always stay. Two lines have a threshold of one edit
+per `per` characters of the shorter one, and one edit at least; without `per` it is one edit for all.
+
+Join for t > 1 edits, lines of 2 * per characters or more. If t + 1 segments of a line share no character, t edits leave one of them
+whole, in both lines. Segments are grams of a fixed length; a line takes all grams whose hashes lie below a bound of its own, the least
+(up to a step) below which t + 1 grams are disjoint. Of two lines within their threshold the one with the lower bound has a segment
+that is whole in the other, and so is below the other's bound too: they share a segment, at a place that differs by t at most. Tasks
+send their segments as arrays per bucket of keys, with the lines' sizes and the segments' places in cells, and a bucket yields the
+pairs of lines that share a segment and whose sizes and places fit. A segment under which many lines of about one size lie is not
+paired up: each of its lines meets the earlier ones that its letter counts come closest to, then, if it is near none of them, a few
+more, then all that the counts do not prove to be farther than the threshold. All pairs are verified with a bit-parallel edit distance
+in a band.
 
 Join for one edit: it leaves one of a line's two segments whole. A line of length n is indexed under both its segments, with n; as a probe
 of lines of length n - 1 it selects the one substring per segment that can still match there (from the begin for the first segment,
-from the end for the second). Lines that share a key are candidates, and are verified with a banded bit-parallel edit distance.
+from the end for the second). Lines that share a key are candidates, and are verified likewise.
 
 Keys that many lines share are not paired up: their lines go to a round with 16 segments, where one edit leaves 15 whole, so that a
 key is a line without one segment; keys that still are shared by many go to a last round whose keys are the line without each one of
@@ -22,12 +26,12 @@ first of its key alone. Work thus stays linear in the
 lines however many are alike, and no pair is lost: a pair shares a key in every round.
 
 Equal lines are brought together by 128-bit hashes. Nulls in the id: the text stays as it is. Null texts stay null. Rows that repeat
-an id count as one document: the same line stays in both. Other columns are kept.
+an id count as one document: the same line stays in both. Other columns are kept, but for n_lines and n_dropped, which are replaced.
+An empty table gives an empty result. Lines and texts of any length are handled whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,9 +41,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, slices
-from .digest_index import HIT_BITS, KEY, Filter, hit_filter
+from .common import columns_of, cut, free_name, hot_keys, slices, spread_join
+from .digest_index import HIT_BITS, Filter, hit_filter, passing
 
+#: Characters of the shortest lines in the edit join.
 LEAST_CHARS = 20
 SEGMENTS = (2, 16)  # then one per character
 MOST_IN_RUN = 64
@@ -47,7 +52,10 @@ LETTERS_AT_ONCE = 1 << 20
 MOST_SEEN = 400_000
 #: Characters per edit of the queries: a line of 250 characters may differ in 8, a word or two.
 CHARS_PER_EDIT = 30
-FIRST_PAIRS = 2
+#: Earlier lines that a line under a common segment is compared with in a first and a second round, before it meets all.
+FIRST_PAIRS = (2, 16)
+#: Segments that a task sorts at once, and buckets of keys: these grow with the table's parts, so that one bucket fits into a task.
+SEGMENTS_AT_ONCE, LEAST_BUCKETS, BUCKETS_PER_PART = 1_500_000, 4096, 64
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -156,54 +164,67 @@ def distance(a: str, b: str) -> int:
 
 
 def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`: one bit per diagonal of the band, one vector per number of edits."""
+    """Whether the edit distance is at most `most`, by bit vectors of the band around the diagonal, one step per character."""
     front = common_prefix(a, b)
     a, b = a[front:], b[front:]
     back = common_prefix(a[::-1], b[::-1])
     a, b = a[: len(a) - back], b[: len(b) - back]
-    if abs(len(a) - len(b)) > most:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
         return False
-    if most > 3:
-        return distance(a, b) <= most
-    width = 2 * most + 1
-    mask = (1 << width) - 1
-    # bit d of reach[e]: a[: j + d - most] becomes b[:j] with at most e edits
-    reach = [((1 << (e + 1)) - 1) << most & mask for e in range(most + 1)]
+    if not b or max(len(a), len(b)) <= most:
+        return len(a) <= most
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    # bit `width - 1` of a vector is the diagonal's lower edge: row j + most of a in step j; lower bits are the rows above it
+    width = 2 * most + 2
+    mask, edge = (1 << width) - 1, 1 << (width - 1)
+    more, less, found, last = mask ^ ((1 << (width - most - 1)) - 1), 0, most, len(a) - 1
+    limit = 2 * most + len(b) - len(a)
     for j, c in enumerate(b):
-        match = room = 0
-        for d in range(width):
-            i = j + d - most
-            if 0 <= i < len(a):
-                room |= 1 << d
-                if a[i] == c:
-                    match |= 1 << d
-        new = [reach[0] & match]
-        for e in range(1, most + 1):
-            new.append((reach[e] & match) | (reach[e - 1] & room) | (reach[e - 1] >> 1) | ((new[e - 1] << 1) & mask))
-        reach = new
-        if not reach[most]:
+        shift = j + most + 1 - width
+        same = places.get(c, 0)
+        same = (same >> shift if shift >= 0 else same << -shift) & mask
+        down = ((((same & more) + more) ^ more) | same | less) & mask
+        across = (less | ~(down | more)) & mask
+        back_ = down & more
+        row = j + most
+        if row <= last:  # along the lower edge of the band
+            found += not down & edge
+        else:  # along a's last row
+            bit = 1 << (width - 1 - (row - last))
+            found += bool(across & bit) - bool(back_ & bit)
+        if found > limit:
             return False
-    return bool(reach[most] >> (len(a) - len(b) + most) & 1)
+        down >>= 1
+        more, less = (back_ | ~(down | across)) & mask, down & across
+    return found <= most
+
+
+def blank(line: str) -> bool:
+    return not line or line.isspace()
 
 
-OCCURRENCE = "line binary, doc_id long, line_no int, keys array<long>"
+OCCURRENCE = "line binary, doc_id long, line_no int, size int, keys array<long>"
 
 
 def occurrences(texts: DataFrame, least: int, per: int | None = None) -> DataFrame:
     """The first occurrence of each line in each document; with the line's keys for one edit where the task has not met the line
-    before and the line has no larger threshold with all others."""
+    before and the line takes part in the edit join with that threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in slices(batches):
-            ids, docs, numbers, new, keyed = [], [], [], [], []
+            ids, docs, numbers, lengths, new, keyed = [], [], [], [], [], []
             for doc, text in zip(*columns_of(batch), strict=True):
                 own = set()
                 for no, line in enumerate(text.split("\n")):
-                    if len(line) >= least and (i := line_id(line)) not in own:
+                    if not blank(line) and (i := line_id(line)) not in own:
                         own.add(i)
-                        ids.append(i), docs.append(doc), numbers.append(no)
-                        keyed.append(i not in seen and (per is None or len(line) <= 2 * per))
+                        ids.append(i), docs.append(doc), numbers.append(no), lengths.append(len(line))
+                        keyed.append(i not in seen and len(line) >= least and (per is None or len(line) <= 2 * per))
                         if keyed[-1]:
                             seen.add(i)
                             new.append(line)
@@ -211,25 +232,24 @@ def occurrences(texts: DataFrame, least: int, per: int | None = None) -> DataFra
             keys = np.concatenate(parts) if parts else np.empty((0, 2 * SEGMENTS[0]), dtype=np.int64)
             sizes = np.where(keyed, keys.shape[1], 0)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], type=pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.binary()), pa.array(docs, type=pa.int64()), pa.array(numbers, type=pa.int32()), lists], names=["line", "doc_id", "line_no", "keys"])
+            columns = [pa.array(ids, type=pa.binary()), pa.array(docs, type=pa.int64()), pa.array(numbers, type=pa.int32()), pa.array(lengths, type=pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["line", "doc_id", "line_no", "size", "keys"])
             if len(seen) > MOST_SEEN:
                 seen.clear()
 
     return texts.mapInArrow(run, OCCURRENCE)
 
 
-def lines_among(texts: DataFrame, wanted: Filter, least: int) -> DataFrame:
+def lines_among(texts: DataFrame, wanted: Filter | None, least: int) -> DataFrame:
     """(line, text) of the lines that the filter lets through, once per task."""
-    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted.marks).tobytes())
-    bits = wanted.bits
+    may_hold = passing(wanted, texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(bits, np.unpackbits(np.frombuffer(sent.value, dtype=np.uint8), count=bits).astype(bool))
         seen: set[bytes] = set()
         for batch in slices(batches):
             lines = list(dict.fromkeys(x for text in batch.column(1).to_pylist() for x in text.split("\n") if len(x) >= least))
             ids = [line_id(x) for x in lines]
-            hit = own.may_hold(np.array(ids, dtype=KEY)) if ids else []
+            hit = may_hold(ids) if ids else []
             found = [(i, x) for i, x, h in zip(ids, lines, hit, strict=True) if h and i not in seen]
             seen.update(i for i, _ in found)
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], type=pa.binary()), pa.array([x for _, x in found], type=pa.string())], names=["line", "text"])
@@ -240,7 +260,8 @@ def lines_among(texts: DataFrame, wanted: Filter, least: int) -> DataFrame:
 
 
 def shared(keys: DataFrame) -> DataFrame:
-    """(key, line, many) of the keys under which different lines lie. Tasks count before anything is dealt out."""
+    """(key, line, many) of the keys under which different lines lie, each line once however many tasks have met it."""
+    keys = keys.distinct()
     hashed = keys.withColumn("h", F.xxhash64("line"))
     runs = hashed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low <> high")
     return keys.join(runs.select("key", (F.col("n") > MOST_IN_RUN).alias("many")), "key").select("key", "line", "many")
@@ -313,7 +334,7 @@ def later_by_letter(pool: DataFrame) -> DataFrame:
 
 def near_lines(texts: DataFrame, occurring: DataFrame, firsts: DataFrame, least: int, bits: int) -> DataFrame:
     """The lines that have an earlier line, another one, within one edit."""
-    found = cut(shared(occurring.where("size(keys) > 0").select(F.explode("keys").alias("key"), "line")).distinct())
+    found = cut(shared(occurring.where("size(keys) > 0").select(F.explode("keys").alias("key"), "line")))
     wanted = found.select("line").distinct()
     seen = lines_among(texts, hit_filter(wanted.select(F.col("line").alias("digest")), bits), least)
     pool = seen.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")).join(firsts.select("line", "doc_id", "line_no"), "line")
@@ -321,7 +342,7 @@ def near_lines(texts: DataFrame, occurring: DataFrame, firsts: DataFrame, least:
     late = later_in_run(found.where("not many").join(pool, "line"))
     hot = pool.join(found.where("many").select("line").distinct(), "line", "left_semi")
     for segments in SEGMENTS[1:]:
-        again = cut(shared(keys_of(hot, segments)).distinct())
+        again = cut(shared(keys_of(hot, segments)))
         late = late.union(later_in_run(again.where("not many").join(pool, "line")))
         hot = pool.join(again.where("many").select("line").distinct(), "line", "left_semi")
     return late.union(later_by_letter(cut(hot))).distinct()
@@ -332,73 +353,187 @@ def edits(size, per: int):
 
 
 def gram_size(per: int) -> int:
-    """Four fifths of the shortest run that any two lines with a threshold of two edits or more have in common."""
-    return max(1, -(-(2 * per - 2) // 3) * 4 // 5)
+    """Characters of a segment: few enough that threshold-plus-one of them always find room in a line."""
+    return max(1, 2 * per // 5)
+
+
+def disjoint(places: np.ndarray, begin: np.ndarray, end: np.ndarray, need: np.ndarray, q: int) -> np.ndarray:
+    """How many grams of q characters that share none a line has, up to `need`; places are sorted, a line has those in [begin, end)."""
+    count, at = np.zeros(len(begin), dtype=np.int64), np.searchsorted(places, begin)
+    live = np.flatnonzero((at < len(places)) & (places[np.minimum(at, len(places) - 1)] < end)) if len(places) else np.empty(0, dtype=np.int64)
+    at = at[live]
+    while len(live):
+        count[live] += 1
+        at = np.searchsorted(places, places[at] + q)
+        more = (count[live] < need[live]) & (at < len(places))
+        more[more] = places[at[more]] < end[live[more]]
+        live, at = live[more], at[more]
+    return count
+
+
+def segments(lines: list[str], per: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, place) of each line's segments: its grams with a hash below the line's bound, where the bound is (up to a step) the
+    least one below which threshold-plus-one grams share no character."""
+    text = Substrings(lines)
+    sizes = text.end - text.begin
+    need = sizes // per + 1
+    of = np.repeat(np.arange(len(lines)), sizes)
+    at = np.flatnonzero(text.end[of] - np.arange(len(of)) >= q)
+    h, of = mixed(mixed(text.hash(at, at + q)) + np.uint64(q)), of[at]
+    usual = np.minimum(1.0, 1.0 / np.maximum(1.0, sizes / need - q))  # share of grams at which this many are disjoint, on average
+    bound = np.zeros(len(lines))
+    share, live = 0.8 * usual, np.ones(len(lines), dtype=bool)
+    scaled = h.astype(np.float64) / 2.0**64
+    some = scaled < 3.2 * usual[of]
+    h_some, of_some, at_some = scaled[some], of[some], at[some]
+    while live.any():
+        step = h_some < np.where(live, share, 0)[of_some]
+        found = disjoint(at_some[step], text.begin[live], text.end[live], need[live], q)
+        done = np.flatnonzero(live)[found >= need[live]]
+        bound[done] = share[done]
+        live[done] = False
+        share = share * 1.2
+        late = live & (share > 3.2 * usual)
+        bound[late], live[late] = 2.0, False  # all grams of a line that repeats itself
+    picked = scaled < bound[of]
+    return mixed(h[picked] ^ np.uint64(0x2545F4914F6CDD1D)), of[picked], (at - text.begin[of])[picked]
 
 
-def window_size(size: int, per: int) -> int:
-    """Grams in the shortest run that a line of this size has in common with a line within their threshold."""
-    low = max(2 * per, size - size // per)
-    most = [n for n in (low, -(-low // per) * per) if n <= size]  # between multiples of per, runs grow
-    return min(-(-(n - n // per) // (n // per + 1)) for n in most) - gram_size(per) + 1
+def width_of(size: np.ndarray, per: int) -> np.ndarray:
+    """Characters per cell: a power of two that is no less than the threshold. Places are kept as numbers of cells."""
+    return np.left_shift(1, np.ceil(np.log2(np.maximum(1, size // per))).astype(np.int64))
 
 
-def sliding(x: np.ndarray, window: int, least: bool) -> np.ndarray:
-    """Least or largest of x[i : i + window]; what lies behind the end does not count."""
-    pick, fill = (np.minimum, np.uint64(2**64 - 1)) if least else (np.maximum, np.uint64(0))
-    x, have = x.copy(), 1
-    while have < window:
-        step = min(have, window - have)
-        x = pick(x, np.r_[x[step:], np.full(min(step, len(x)), fill)][: len(x)])
-        have += step
-    return x
+#: Sizes and cells are kept in two bytes and one; what is larger is taken as that, and meets all that may be near.
+MOST_SIZE, MOST_CELL = (1 << 16) - 1, 255
 
 
-def least_grams(lines: list[str], window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, place) of the least gram of each window of lines that have the same window."""
-    text = Substrings(lines)
-    sizes = text.end - text.begin
-    at = np.arange(int(text.end[-1]))
-    of = np.repeat(np.arange(len(lines)), sizes)
-    left = text.end[of] - at
-    h = np.full(len(at), 2**64 - 1, dtype=np.uint64)
-    whole = left >= k
-    h[whole] = mixed(mixed(text.hash(at[whole], at[whole] + k)) + np.uint64(k)) >> np.uint64(1)
-    low = np.where(left >= k + window - 1, sliding(h, window, least=True), np.uint64(0))
-    held = sliding(low[::-1], window, least=False)[::-1]  # the windows that hold a place begin at it or before
-    picked = np.flatnonzero(whole & (held == h))
-    return h[picked].view(np.int64), of[picked], at[picked] - text.begin[of[picked]]
+def cells_of(place: np.ndarray, size: np.ndarray, per: int) -> np.ndarray:
+    return np.minimum(place // width_of(np.minimum(size, MOST_SIZE), per), MOST_CELL).astype(np.uint8)
+
+
+def meeting(size_a, cell_a, size_b, cell_b, per: int) -> np.ndarray:
+    """Whether sizes and places allow the lines to be within their threshold."""
+    t = np.minimum(size_a, size_b) // per
+    wide_a, wide_b = width_of(size_a, per), width_of(size_b, per)
+    low_a, low_b = cell_a * wide_a, cell_b * wide_b
+    high_a, high_b = (np.where(c == MOST_CELL, np.int64(1 << 60), low + wide - 1) for c, low, wide in ((cell_a, low_a, wide_a), (cell_b, low_b, wide_b)))
+    return (np.abs(size_a - size_b) <= t) & (low_a - high_b <= t) & (low_b - high_a <= t) | (np.minimum(size_a, size_b) == MOST_SIZE)
 
 
-def ref_of(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
+def ref_of(line: bytes, size: int) -> int:
+    """48 bits for a line: its size and the begin of its id."""
+    return min(size, MOST_SIZE) << 32 | int.from_bytes(line[:4], "big")
 
 
-GRAM = "key long, ref long, size int, place int"
+PACKED = "bucket long, keys binary, refs binary, sizes binary, cells binary"
 
 
-def gram_rows(texts: DataFrame, least: int, per: int) -> DataFrame:
-    """The keys of all lines with a threshold of two edits or more with some line, once per task."""
-    k = gram_size(per)
+def packed_segments(texts: DataFrame, least: int, per: int, q: int, buckets: int) -> DataFrame:
+    """The segments of all lines with a threshold of two edits or more, once per task, as arrays in a row per bucket of keys: 11 bytes
+    for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            key, ref, size, cell = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(key, kind="stable")
+            key, ref, size, cell = key[order], ref[order], size[order], cell[order]
+            bucket = (key >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, columns = bucket[order], [x[order] for x in ((key & np.uint64(0xFFFFFFFF)).astype("<u4"), ref, size, cell)]
+            begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = [*begin[1:].tolist(), len(bucket)]
+            rows = [pa.array([x[a:b].tobytes() for a, b in zip(begin.tolist(), ends, strict=True)], type=pa.binary()) for x in columns]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int64)), *rows], names=["bucket", "keys", "refs", "sizes", "cells"])
+
         for batch in slices(batches):
-            new: dict[int, list[tuple[int, str]]] = {}
+            new, refs = [], []
             for text in batch.column(1).to_pylist():
                 for line in text.split("\n"):
-                    if len(line) >= max(least, 2 * per) and (ref := ref_of(line_id(line))) not in seen:
+                    if len(line) >= max(least, 2 * per) and (ref := ref_of(line_id(line), len(line))) not in seen:
                         seen.add(ref)
-                        new.setdefault(window_size(len(line), per), []).append((ref, line))
-            for window, some in new.items():
-                for a, b in batches_of([x for _, x in some]):
-                    key, of, place = least_grams([x for _, x in some[a:b]], window, k)
-                    refs, sizes = np.array([r for r, _ in some[a:b]], dtype=np.int64), np.array([len(x) for _, x in some[a:b]], dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(refs[of]), pa.array(sizes[of]), pa.array(place.astype(np.int32))], names=["key", "ref", "size", "place"])
+                        new.append(line)
+                        refs.append(ref & 0xFFFFFFFF)
+            for a, b in batches_of(new):
+                key, of, place = segments(new[a:b], per, q)
+                size = np.array([len(x) for x in new[a:b]])[of]
+                cell = cells_of(place, size, per)
+                fresh = np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (cell[1:] != cell[:-1])]  # a line may repeat itself
+                held.append((key[fresh], np.array(refs[a:b], dtype="<u4")[of[fresh]], np.minimum(size, MOST_SIZE).astype("<u2")[fresh], cell[fresh]))
+                if sum(len(h[0]) for h in held) >= SEGMENTS_AT_ONCE:
+                    yield flush()
             if len(seen) > MOST_SEEN:
                 seen.clear()
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(run, PACKED)
+
+
+MEETING = "a long, b long, key long, cell int"
+
+
+def meetings(packed: DataFrame, per: int) -> DataFrame:
+    """(a, b): refs of different lines with a segment in common whose sizes and places allow that they are near. Of a segment that has
+    more than MOST_IN_RUN lines of about one size, (a, key, cell) for each line instead."""
+    dealt = packed.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+
+    def pairs_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        bucket = rows[0][0]
+        key, ref, size, cell = (np.concatenate([np.frombuffer(r[k], dtype=t) for r in rows]) for k, t in ((1, "<u4"), (2, "<u4"), (3, "<u2"), (4, "u1")))
+        order = np.lexsort((size, key))
+        key, size, cell = key[order], size[order].astype(np.int64), cell[order].astype(np.int64)
+        ref = size << 32 | ref[order].astype(np.int64)
+        live, found, edits_of = np.arange(len(key)), [], size // per
+        for k in range(1, MOST_IN_RUN + 1):
+            live = live[live + k < len(key)]
+            live = live[(key[live] == key[live + k]) & (size[live + k] - size[live] <= edits_of[live])]
+            if not len(live):
+                break
+            other = live + k
+            ok = (ref[live] != ref[other]) & meeting(size[live], cell[live], size[other], cell[other], per)
+            found.append(np.stack([ref[live[ok]], ref[other[ok]]], axis=1))
+        hot = np.isin(key, key[live]) if len(live) else np.zeros(len(key), dtype=bool)
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
+        if len(pairs):
+            nothing = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1)), nothing, nothing.cast(pa.int32())], names=["a", "b", "key", "cell"])
+        if hot.any():
+            keys = (np.int64(bucket) << 32) | key[hot].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ref[hot]), pa.nulls(int(hot.sum()), pa.int64()), pa.array(keys), pa.array(cell[hot].astype(np.int32))], names=["a", "b", "key", "cell"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in slices(batches):
+            for row in zip(*columns_of(batch), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield from pairs_of(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from pairs_of(held)
+
+    return dealt.mapInArrow(run, MEETING)
+
+
+LETTERS = 32
+
 
-    return texts.mapInArrow(run, GRAM)
+def letter_counts(text: str) -> np.ndarray:
+    """Counts of characters, and of pairs of characters, in classes. An edit changes two of the first by one, and four of the second."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    pairs = mixed(x[1:] * np.uint64(0x1F1F1F1F1) + x[:-1])
+    return np.r_[np.bincount((x % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS), np.bincount((pairs % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS)].astype(np.int32)
+
+
+def far(counts: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """A lower bound of the edits between a line and each of the others, by their letter counts."""
+    gap = np.abs(others - counts)
+    return np.maximum((gap[:, :LETTERS].sum(axis=1) + 1) // 2, (gap[:, LETTERS:].sum(axis=1) + 3) // 4)
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -417,41 +552,30 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def in_company(grams: DataFrame, per: int) -> DataFrame:
-    """The rows of keys under which different lines lie, without those that have no line of about their size beside them."""
-    dealt = grams.repartition(F.col("key")).sortWithinPartitions("key", "size")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_runs(batches):
-            key, ref, size = (part.column(i).to_numpy() for i in range(3))
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            counts = np.diff(np.r_[first, len(key)])
-            several = np.repeat(np.minimum.reduceat(ref, first) != np.maximum.reduceat(ref, first), counts)
-            near = (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= edits(size[:-1], per))
-            keep = several & (np.r_[near, False] | np.r_[False, near])
-            yield from part.filter(pa.array(keep)).to_batches()
-
-    return dealt.mapInArrow(run, GRAM)
-
-
 def earlier_pairs(rows: DataFrame, per: int, most: int | None) -> DataFrame:
-    """(line, other): each open line with the earliest `most` (or all) lines before it that its keys, length and place allow.
-    rows: key, doc_id, line_no, line, size, place, open."""
-    order = ["key", "doc_id", "line_no", "line", "place"]
-    dealt = rows.select(*order, "size", "open").repartition(F.col("key")).sortWithinPartitions(*order)
+    """(line, other): each open line with the `most` lines before it that are least far by their letter counts, or with all that these,
+    the sizes and the places allow. rows: key, doc_id, line_no, line, size, cell, counts, open."""
+    order = ["key", "doc_id", "line_no", "line", "cell"]
+    dealt = rows.select(*order, "size", "counts", "open").repartition(F.col("key")).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_runs(batches):
-            key, place, size, still = (part.column(c).to_numpy() for c in ("key", "place", "size", "open"))
+            key, cell, size, still = (part.column(c).to_numpy() for c in ("key", "cell", "size", "open"))
+            size = np.minimum(size, MOST_SIZE).astype(np.int64)
+            cell = cell.astype(np.int64)
+            counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), dtype="<i4").reshape(len(key), -1)
             lines = part.column("line").to_pylist()
             begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             pairs: set[tuple[bytes, bytes]] = set()
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
                 for i in range(a + 1, b):
                     if still[i]:
-                        t = edits(np.minimum(size[a:i], size[i]), per)
-                        fit = np.flatnonzero((np.abs(size[a:i] - size[i]) <= t) & (np.abs(place[a:i] - place[i]) <= t))
-                        pairs.update((lines[i], lines[a + j]) for j in fit[:most].tolist() if lines[i] != lines[a + j])
+                        fit = a + np.flatnonzero(meeting(size[a:i], cell[a:i], size[i], cell[i], per))
+                        # sizes of MOST_SIZE stand for larger ones, whose thresholds are not known here
+                        gap = far(counts[i], counts[fit])
+                        may = (gap <= np.minimum(size[fit], size[i]) // per) | (size[i] == MOST_SIZE)
+                        fit = fit[may][np.argsort(gap[may], kind="stable")] if most else fit[may]
+                        pairs.update((lines[i], lines[j]) for j in fit[:most].tolist() if lines[i] != lines[j])
                         if len(pairs) > 50_000:
                             yield pair_batch(pairs)
                             pairs = set()
@@ -471,72 +595,123 @@ def verified(pairs: DataFrame, pool: DataFrame, per: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
+            out: set[bytes] = set()
             for line, a, b in zip(*columns_of(batch), strict=True):
                 most = int(edits(min(len(a), len(b)), per))
-                x, y = Counter(a), Counter(b)
-                if (x - y).total() <= most and (y - x).total() <= most and within(a, b, most):
-                    out.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["line"])
+                if line not in out and abs(len(a) - len(b)) <= most and far(letter_counts(a), letter_counts(b)[None])[0] <= most and within(a, b, most):
+                    out.add(line)
+            yield pa.RecordBatch.from_arrays([pa.array([*out], type=pa.binary())], names=["line"])
 
     return both.select("line", "text", "other_text").mapInArrow(run, "line binary").distinct()
 
 
+def with_counts(pool: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, texts = columns_of(batch)
+            counts = [letter_counts(t).astype("<i4").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.binary()), pa.array([len(t) for t in texts], type=pa.int32()), pa.array(counts, type=pa.binary())], names=["line", "size", "counts"])
+
+    return pool.select("line", "text").mapInArrow(run, "line binary, size int, counts binary")
+
+
 def near_long_lines(texts: DataFrame, firsts: DataFrame, least: int, bits: int, per: int) -> DataFrame:
     """The lines that have an earlier line within a threshold of two edits or more."""
-    found = cut(in_company(gram_rows(texts, least, per), per).distinct())
-    numbered = firsts.withColumn("ref", F.conv(F.hex(F.substring("line", 1, 8)), 16, -10).cast("long"))
-    wanted = cut(numbered.join(found.select("ref").distinct(), "ref", "left_semi").select("ref", "line", "doc_id", "line_no"))
-    seen = lines_among(texts, hit_filter(wanted.select(F.col("line").alias("digest")), bits), least)
+    buckets = max(LEAST_BUCKETS, BUCKETS_PER_PART * texts.rdd.getNumPartitions())
+    met = cut(meetings(packed_segments(texts, least, per, gram_size(per), buckets), per))
+    pairs, hot = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").select(F.col("a").alias("ref"), "key", "cell").distinct()
+    numbered = firsts.where(F.col("size") >= max(least, 2 * per)).withColumn("ref", reference("size", "line")).select("ref", "line", "doc_id", "line_no")
+    refs = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).union(hot.select("ref")).distinct()
+    wanted = cut(numbered.join(refs, "ref", "left_semi"))
+    seen = lines_among(texts, hit_filter(wanted.select(F.col("line").alias("digest")), bits), max(least, 2 * per))
     pool = cut(seen.join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")))
-    rows = cut(found.join(wanted, "ref").drop("ref"))
-    late = cut(verified(earlier_pairs(rows.withColumn("open", F.lit(True)), per, FIRST_PAIRS), pool, per))
-    rest = rows.join(late.withColumn("late", F.lit(True)), "line", "left").withColumn("open", F.col("late").isNull())
-    return late.union(verified(earlier_pairs(rest, per, None), pool, per))
+    side = lambda s: wanted.select(F.col("ref").alias(s), F.struct("doc_id", "line_no", "line").alias(f"at_{s}"))
+    ordered = pairs.join(side("a"), "a").join(side("b"), "b").select(F.greatest("at_a", "at_b")["line"].alias("line"), F.least("at_a", "at_b")["line"].alias("other"))
+    late = cut(verified(ordered, pool, per))
+    if hot.isEmpty():
+        return late
+    rows = cut(hot.join(wanted, "ref").drop("ref").join(with_counts(pool), "line"))
+    for most in (*FIRST_PAIRS, None):  # lines that many others resemble are done after a few
+        rest = rows.join(late.withColumn("late", F.lit(True)), "line", "left").withColumn("open", F.col("late").isNull())
+        late = cut(late.union(verified(earlier_pairs(rest, per, most), pool, per)).distinct())
+    return late
+
+
+def reference(size: str, line: str):
+    """ref_of as a column."""
+    return F.shiftleft(F.least(F.col(size), F.lit(MOST_SIZE)).cast("long"), 32).bitwiseOR(F.conv(F.hex(F.substring(line, 1, 4)), 16, 10).cast("long"))
 
 
 def dropped_lines(documents: DataFrame, least: int = LEAST_CHARS, bits: int = HIT_BITS, per: int | None = None) -> DataFrame:
     """(doc_id, lines): ids of the lines that leave a document. documents: doc_id, text."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     occurring = cut(occurrences(texts, least, per))
-    firsts = occurring.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    firsts = cut(firsts.select("line", "first.doc_id", "first.line_no", (F.col("low") != F.col("high")).alias("repeated")))
+    firsts = occurring.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("size").alias("size"), F.count("*").alias("n"))
+    firsts = cut(firsts.select("line", "first.doc_id", "first.line_no", "size", "n", (F.col("low") != F.col("high")).alias("repeated")))
     near = near_lines(texts, occurring, firsts, least, bits)
     if per is not None:
         near = near.union(near_long_lines(texts, firsts, least, bits, per)).distinct()
     near = near.withColumn("near", F.lit(True))
-    marked = firsts.join(near, "line", "left").where("repeated or near").select("line", F.col("doc_id").alias("first_doc"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = occurring.select("line", "doc_id").join(marked, "line").where(F.col("near") | (F.col("doc_id") != F.col("first_doc")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    marked = cut(firsts.join(near, "line", "left").where("repeated or near").select("line", F.col("doc_id").alias("first_doc"), F.coalesce("near", F.lit(False)).alias("near"), "n"))
+    hot = hot_keys(marked, "line", occurring.count())
+    gone = spread_join(occurring.select("line", "doc_id"), marked, "line", hot).where(F.col("near") | (F.col("doc_id") != F.col("first_doc")))
+    return gone.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
 
 
 def without_repeated_lines(documents: DataFrame, least: int = LEAST_CHARS, bits: int = HIT_BITS, per: int | None = None) -> DataFrame:
-    """The documents with the lines that stay, and n_lines and n_dropped; n_chars, where there is one, is that of the new text."""
-    drops = dropped_lines(documents, least, bits, per).select(F.col("doc_id").alias("_of"), F.col("lines").alias("_lines"))
-    joined = documents.join(drops, F.col("doc_id").cast("long") == F.col("_of"), "left").drop("_of")
-    at, ids, gone = documents.columns.index("text"), documents.columns.index("doc_id"), len(documents.columns)
-    kept = joined.select(*documents.columns, "_lines")
-    names = [*documents.columns, "n_lines", "n_dropped"]
+    """The documents with the lines that stay, and n_lines and n_dropped; n_chars, where there is one, is that of the new text. Only
+    documents that a filter over the ids of those with drops lets through are dealt out by id, if the filter's bound allows one."""
+    documents = documents.select(*[c for c in documents.columns if c.lower() not in ("n_lines", "n_dropped")])
+    columns = documents.columns
+    drop_id, drop_lines, digest = (free_name(n, columns) for n in ("_of", "_lines", "_digest"))
+    drops = cut(dropped_lines(documents.select("doc_id", "text"), least, bits, per))
+    drops = drops.select(F.col("doc_id").alias(drop_id), F.col("lines").alias(drop_lines))
+    digest_of = lambda c: F.unhex(F.md5(F.col(c).cast("long").cast("string").cast("binary")))
+    among = hit_filter(drops.select(digest_of(drop_id).alias("digest")), bits)
+    may_hold = passing(among, documents.sparkSession)
+    at, ids, width = columns.index("text"), columns.index("doc_id"), len(columns)
+    names = [*columns, "n_lines", "n_dropped"]
+
+    def passed(batch: pa.RecordBatch) -> np.ndarray:
+        digests = batch.column(width).to_pylist()
+        return may_hold([d or bytes(16) for d in digests]) & np.array([d is not None for d in digests], dtype=bool)
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(passed(batch))).columns[:width], names=columns)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            batch = batch.filter(pa.array(~passed(batch)))
+            yield stripped(batch, [None] * batch.num_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts, counts, drops = [], [], []
-            for doc, text, lines in zip(batch.column(ids).to_pylist(), batch.column(at).to_pylist(), batch.column(gone).to_pylist(), strict=True):
-                if text is None or doc is None:
-                    texts.append(text), counts.append(0 if text is None else text.count("\n") + 1), drops.append(0)
-                    continue
-                seen, out, all_lines = set(lines or ()), [], text.split("\n")
-                for line in all_lines:
-                    if len(line) >= least:
-                        i = line_id(line)
-                        if i in seen:
-                            continue
-                        seen.add(i)
-                    out.append(line)
-                texts.append("\n".join(out)), counts.append(len(all_lines)), drops.append(len(all_lines) - len(out))
-            arrays = [pa.array(texts, type=pa.string()) if k == at else batch.column(k) for k in range(gone)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, type=pa.int64()), pa.array(drops, type=pa.int64())], names=names)
+            yield stripped(batch, batch.column(width).to_pylist())
+
+    def stripped(batch: pa.RecordBatch, gone: list) -> pa.RecordBatch:
+        texts, counts, drops = [], [], []
+        for doc, text, lines in zip(batch.column(ids).to_pylist(), batch.column(at).to_pylist(), gone, strict=True):
+            if text is None or doc is None:
+                texts.append(text), counts.append(0 if text is None else text.count("\n") + 1), drops.append(0)
+                continue
+            seen, out, all_lines = set(lines or ()), [], text.split("\n")
+            for line in all_lines:
+                if not blank(line):
+                    i = line_id(line)
+                    if i in seen:
+                        continue
+                    seen.add(i)
+                out.append(line)
+            texts.append("\n".join(out)), counts.append(len(all_lines)), drops.append(len(all_lines) - len(out))
+        arrays = [pa.array(texts, type=batch.schema.field(at).type) if k == at else batch.column(k) for k in range(width)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(counts, type=pa.int64()), pa.array(drops, type=pa.int64())], names=names)
 
     schema = documents.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
-    out = kept.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
+    with_digest = documents.withColumn(digest, digest_of("doc_id"))
+    mine = documents if among is None else with_digest.mapInArrow(through, documents.schema)
+    out = mine.join(drops, F.col("doc_id").cast("long") == F.col(drop_id), "left").select(*columns, drop_lines).mapInArrow(joined, schema)
+    if among is not None:
+        out = out.union(with_digest.mapInArrow(others, schema))
+    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in columns else out

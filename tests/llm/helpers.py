@@ -42,19 +42,25 @@ def classes(rows):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def lines_left(rows, least):
+def blank(line):
+    return not line.strip()
+
+
+def lines_left(rows, least, threshold=lambda n: 1):
+    """threshold: of edits, by the length of the shorter line."""
     first = {}
     for d, t in sorted((d, t) for d, t in rows if t is not None):
         for n, line in enumerate(t.split("\n")):
-            if len(line) >= least:
+            if not blank(line):
                 first.setdefault(line, (d, n))
-    order = sorted(first, key=first.get)
-    near = {x for k, x in enumerate(order) if any(abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1 for y in order[:k])}
+    order = sorted((x for x in first if len(x) >= least), key=first.get)
+    t = lambda x, y: threshold(min(len(x), len(y)))
+    near = {x for k, x in enumerate(order) if any(abs(len(x) - len(y)) <= t(x, y) and distance(x, y) <= t(x, y) for y in order[:k])}
     out = {}
-    for d, t in rows:
+    for d, text in rows:
         kept, seen = [], set()
-        for line in (t or "").split("\n"):
-            if len(line) >= least:
+        for line in (text or "").split("\n"):
+            if not blank(line):
                 if line in near or first[line][0] != d or line in seen:
                     continue
                 seen.add(line)

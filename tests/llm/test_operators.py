@@ -253,11 +253,13 @@ def test_distance():
         assert all(line_dedup.within(a, b, k) == (helpers.distance(a, b) <= k) for k in (4, 6))
 
 
-@pytest.mark.parametrize("per", [10, 30])
-def test_line_dedup_threshold_grows(spark, per):
-    """Lines of all lengths with edits around their threshold, against all pairs."""
-    rng = random.Random(per)
-    base = ["".join(rng.choices("abcdefgh ", k=rng.randrange(15, 9 * per))) for _ in range(10)]
+@pytest.mark.parametrize("per,most,longest", [(10, 64, 90), (30, 64, 270), (30, 2, 270), (30, 64, 900)])
+def test_line_dedup_threshold_grows(spark, monkeypatch, per, most, longest):
+    """Lines of all lengths with edits around their threshold, against all pairs. With most = 2 nearly all segments count as common."""
+    monkeypatch.setattr(line_dedup, "MOST_IN_RUN", most)
+    monkeypatch.setattr(line_dedup, "FIRST_PAIRS", (1, 2))
+    rng = random.Random(per + longest)
+    base = ["".join(rng.choices("abcdefgh ", k=rng.randrange(15, longest))) for _ in range(10)] + ["ab" * 100, "x" * 200]
 
     def changed(line):
         letters = list(line)
@@ -269,24 +271,57 @@ def test_line_dedup_threshold_grows(spark, per):
     docs = ["\n".join(changed(rng.choice(base)) for _ in range(rng.randrange(0, 4))) for _ in range(60)] + [None]
     out = line_dedup.without_repeated_lines(frame(spark, docs).repartition(4), bits=1 << 16, per=per)
     got = {r["doc_id"]: r["text"] or "" for r in out.collect()}
-    first = {}
-    for d, text in enumerate(docs):
-        for n, line in enumerate((text or "").split("\n")):
-            if len(line) >= line_dedup.LEAST_CHARS:
-                first.setdefault(line, (d, n))
-    order = sorted(first, key=first.get)
-    t = lambda x, y: max(1, min(len(x), len(y)) // per)
-    near = {x for k, x in enumerate(order) if any(abs(len(x) - len(y)) <= t(x, y) and helpers.distance(x, y) <= t(x, y) for y in order[:k])}
-    assert any(all(abs(len(x) - len(y)) > 1 or helpers.distance(x, y) > 1 for y in order[: order.index(x)]) for x in near)
-    for d, text in enumerate(docs):
-        seen, kept = set(), []
-        for line in (text or "").split("\n"):
-            if len(line) >= line_dedup.LEAST_CHARS:
-                if line in near or first[line][0] != d or line in seen:
-                    continue
-                seen.add(line)
-            kept.append(line)
-        assert got[d] == "\n".join(kept)
+    assert got == helpers.lines_left(list(enumerate(docs)), line_dedup.LEAST_CHARS, lambda n: max(1, n // per))
+    assert got != helpers.lines_left(list(enumerate(docs)), line_dedup.LEAST_CHARS)
+
+
+def test_segments_survive_edits():
+    """Of two lines within their threshold one has a segment that is one of the other's, at about the same place."""
+    rng = random.Random(7)
+    for _ in range(300):
+        a = "".join(rng.choices("abc ", k=rng.randrange(60, 400)))
+        letters = list(a)
+        for _ in range(len(a) // 30):
+            k, kind = rng.randrange(len(letters)), rng.randrange(3)
+            letters[k : k + (kind != 1)] = [] if kind == 2 else [rng.choice("abcd")]
+        b = "".join(letters)
+        if min(len(a), len(b)) >= 60 and helpers.distance(a, b) <= min(len(a), len(b)) // 30:
+            of = [dict(zip(*(x.tolist() for x in line_dedup.segments([x], 30, 12)[::2]), strict=True)) for x in (a, b)]
+            assert set(of[0]) & set(of[1])
+
+
+def test_line_dedup_of_short_and_blank_lines(spark):
+    docs = ["Read more\nShare\nRead more\n\n  \n", "Read more\nShare\n\nown", "\n\n", "  \n "]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.without_repeated_lines(frame(spark, docs), bits=1 << 16).collect()}
+    assert got == {0: ("Read more\nShare\n\n  \n", 6, 1), 1: ("\nown", 4, 2), 2: ("\n\n", 3, 0), 3: ("  \n ", 2, 0)}
+
+
+def test_line_dedup_with_clashing_names(spark):
+    docs = frame(spark, ["same line here", "same line here\nmore"]).withColumns({c: F.lit("mine") for c in ("n_lines", "N_Dropped", "_lines", "_of", "_digest", "lines", "line", "near", "size")})
+    out = line_dedup.without_repeated_lines(docs, bits=1 << 16)
+    assert sorted((r["doc_id"], r["text"], r["n_dropped"], r["_of"], r["near"]) for r in out.collect()) == [(0, "same line here", 0, "mine", "mine"), (1, "more", 1, "mine", "mine")]
+
+
+def test_line_dedup_without_filters(spark, monkeypatch):
+    """Beyond the filters' bound all rows are passed on, with the same result."""
+    docs = [f"a line that is long enough {k % 40}\nand one that is its own {k * 7919}" for k in range(200)]
+    some = lambda: sorted((r["doc_id"], r["text"]) for r in line_dedup.without_repeated_lines(frame(spark, docs), bits=bits, per=30).collect())
+    bits = 1 << 16
+    want = some()
+    monkeypatch.setattr(line_dedup, "hit_filter", lambda digests, most: None)
+    assert some() == want
+
+
+def test_line_dedup_forgets(spark, monkeypatch):
+    """A small memory of lines met, and lines beyond the letters handled at once."""
+    monkeypatch.setattr(line_dedup, "MOST_SEEN", 3)
+    monkeypatch.setattr(line_dedup, "LETTERS_AT_ONCE", 64)
+    monkeypatch.setattr(line_dedup, "SEGMENTS_AT_ONCE", 10)
+    rng = random.Random(2)
+    base = ["".join(rng.choices("abcdefgh ", k=150)) for _ in range(5)]
+    docs = ["\n".join(rng.choice(base) + rng.choice(["", "x", "yz"]) for _ in range(3)) for _ in range(30)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(frame(spark, docs), bits=1 << 16, per=30).collect()}
+    assert got == helpers.lines_left(list(enumerate(docs)), line_dedup.LEAST_CHARS, lambda n: max(1, n // 30))
 
 
 def test_line_dedup_of_nothing(spark):
