@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -88,6 +89,9 @@ def free_name(wanted: str, taken: list[str]) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder: later jobs read them there, also after executors are lost."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """The same rows, written as a table in the shared folder: later jobs read them there, also after executors are lost."""
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -10,10 +10,10 @@ whole, in both lines. Segments are grams of a fixed length; a line takes all gra
 (up to a step) below which t + 1 grams are disjoint. Of two lines within their threshold the one with the lower bound has a segment
 that is whole in the other, and so is below the other's bound too: they share a segment, at a place that differs by t at most. Tasks
 send their segments as arrays per bucket of keys, with the lines' sizes and the segments' places in cells, and a bucket yields the
-pairs of lines that share a segment and whose sizes and places fit. A segment under which many lines of about one size lie is not
-paired up: each of its lines meets the earlier ones that its letter counts come closest to, then, if it is near none of them, a few
-more, then all that the counts do not prove to be farther than the threshold. All pairs are verified with a bit-parallel edit distance
-in a band.
+pairs of lines that share a segment and whose sizes and places fit. Pairs that their letter counts do not rule out are verified with a
+bit-parallel edit distance in a band. The lines of a segment under which many lines of about one size lie are not paired up: those
+tied together by such segments form a group, which is cut by size and then into cells of bounded size. In a cell each line meets the
+earlier ones, those with the closest letter counts first, until one is near.
 
 Join for one edit: it leaves one of a line's two segments whole. A line of length n is indexed under both its segments, with n; as a probe
 of lines of length n - 1 it selects the one substring per segment that can still match there (from the begin for the first segment,
@@ -32,6 +32,7 @@ An empty table gives an empty result. Lines and texts of any length are handled
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, cut, free_name, hot_keys, slices, spread_join
+from .components import components
 from .digest_index import HIT_BITS, Filter, hit_filter, passing
 
 #: Characters of the shortest lines in the edit join.
@@ -52,8 +54,8 @@ LETTERS_AT_ONCE = 1 << 20
 MOST_SEEN = 400_000
 #: Characters per edit of the queries: a line of 250 characters may differ in 8, a word or two.
 CHARS_PER_EDIT = 30
-#: Earlier lines that a line under a common segment is compared with in a first and a second round, before it meets all.
-FIRST_PAIRS = (2, 16)
+#: Lines, and their characters, that meet in one task.
+CELL_LINES, CELL_LETTERS = 4_000, 8_000_000
 #: Segments that a task sorts at once, and buckets of keys: these grow with the table's parts, so that one bucket fits into a task.
 SEGMENTS_AT_ONCE, LEAST_BUCKETS, BUCKETS_PER_PART = 1_500_000, 4096, 64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -354,7 +356,7 @@ def edits(size, per: int):
 
 def gram_size(per: int) -> int:
     """Characters of a segment: few enough that threshold-plus-one of them always find room in a line."""
-    return max(1, 2 * per // 5)
+    return max(1, 8 * per // 15)
 
 
 def disjoint(places: np.ndarray, begin: np.ndarray, end: np.ndarray, need: np.ndarray, q: int) -> np.ndarray:
@@ -426,29 +428,49 @@ def ref_of(line: bytes, size: int) -> int:
     return min(size, MOST_SIZE) << 32 | int.from_bytes(line[:4], "big")
 
 
-PACKED = "bucket long, keys binary, refs binary, sizes binary, cells binary"
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' bytes, all first bytes before all second ones, so that they compress."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def packed(key: np.ndarray, ref: np.ndarray, size: np.ndarray, cell: np.ndarray) -> tuple[bytes, bytes]:
+    """Rows sorted by key as two strings, the first one compressed."""
+    steps = np.diff(key.astype(np.int64), prepend=0).astype("<u4")
+    return pa.compress(planes(steps) + planes(size.astype("<u2")) + planes(cell), codec="zstd", asbytes=True), ref.astype("<u4").tobytes()
+
+
+def unpacked(data: bytes, refs: bytes) -> tuple[np.ndarray, ...]:
+    ref = np.frombuffer(refs, dtype="<u4")
+    n = len(ref)
+    whole = pa.decompress(data, decompressed_size=7 * n, codec="zstd", asbytes=True)
+    key = np.cumsum(from_planes(whole[: 4 * n], "<u4").astype(np.int64))
+    return key, ref.astype(np.int64), from_planes(whole[4 * n : 6 * n], "<u2").astype(np.int64), np.frombuffer(whole[6 * n :], dtype=np.uint8).astype(np.int64)
+
+
+PACKED = "bucket long, rows binary, refs binary"
 
 
 def packed_segments(texts: DataFrame, least: int, per: int, q: int, buckets: int) -> DataFrame:
-    """The segments of all lines with a threshold of two edits or more, once per task, as arrays in a row per bucket of keys: 11 bytes
-    for each."""
+    """The segments of all lines with a threshold of two edits or more, once per task, packed into a row per bucket of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            key, ref, size, cell = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order = np.argsort(key, kind="stable")
-            key, ref, size, cell = key[order], ref[order], size[order], cell[order]
-            bucket = (key >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, columns = bucket[order], [x[order] for x in ((key & np.uint64(0xFFFFFFFF)).astype("<u4"), ref, size, cell)]
+            bucket, key = (key >> np.uint64(32)) % np.uint64(buckets), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            order = np.lexsort((key, bucket))
+            bucket, columns = bucket[order], [x[order] for x in (key, *rest)]
             begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = [*begin[1:].tolist(), len(bucket)]
-            rows = [pa.array([x[a:b].tobytes() for a, b in zip(begin.tolist(), ends, strict=True)], type=pa.binary()) for x in columns]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int64)), *rows], names=["bucket", "keys", "refs", "sizes", "cells"])
+            rows = [packed(*(x[a:b] for x in columns)) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int64)), *(pa.array(c, type=pa.binary()) for c in zip(*rows, strict=True))], names=["bucket", "rows", "refs"])
 
         for batch in slices(batches):
             new, refs = [], []
@@ -463,7 +485,7 @@ def packed_segments(texts: DataFrame, least: int, per: int, q: int, buckets: int
                 size = np.array([len(x) for x in new[a:b]])[of]
                 cell = cells_of(place, size, per)
                 fresh = np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (cell[1:] != cell[:-1])]  # a line may repeat itself
-                held.append((key[fresh], np.array(refs[a:b], dtype="<u4")[of[fresh]], np.minimum(size, MOST_SIZE).astype("<u2")[fresh], cell[fresh]))
+                held.append((key[fresh], np.array(refs[a:b], dtype="<u4")[of[fresh]], np.minimum(size, MOST_SIZE)[fresh], cell[fresh]))
                 if sum(len(h[0]) for h in held) >= SEGMENTS_AT_ONCE:
                     yield flush()
             if len(seen) > MOST_SEEN:
@@ -474,20 +496,19 @@ def packed_segments(texts: DataFrame, least: int, per: int, q: int, buckets: int
     return texts.mapInArrow(run, PACKED)
 
 
-MEETING = "a long, b long, key long, cell int"
+MEETING = "a long, b long, many boolean"
 
 
-def meetings(packed: DataFrame, per: int) -> DataFrame:
-    """(a, b): refs of different lines with a segment in common whose sizes and places allow that they are near. Of a segment that has
-    more than MOST_IN_RUN lines of about one size, (a, key, cell) for each line instead."""
-    dealt = packed.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+def meetings(segments_of: DataFrame, per: int) -> DataFrame:
+    """(a, b, many): refs of different lines with a segment in common whose sizes and places allow that they are near. Of a segment
+    that has more than MOST_IN_RUN lines of about one size, each line with the next by size instead, marked as many."""
+    dealt = segments_of.repartition(F.col("bucket")).sortWithinPartitions("bucket")
 
-    def pairs_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        bucket = rows[0][0]
-        key, ref, size, cell = (np.concatenate([np.frombuffer(r[k], dtype=t) for r in rows]) for k, t in ((1, "<u4"), (2, "<u4"), (3, "<u2"), (4, "u1")))
+    def pairs_of(rows: list[tuple]) -> pa.RecordBatch:
+        key, ref, size, cell = (np.concatenate(c) for c in zip(*(unpacked(r[1], r[2]) for r in rows), strict=True))
         order = np.lexsort((size, key))
-        key, size, cell = key[order], size[order].astype(np.int64), cell[order].astype(np.int64)
-        ref = size << 32 | ref[order].astype(np.int64)
+        key, size, cell = key[order], size[order], cell[order]
+        ref = size << 32 | ref[order]
         live, found, edits_of = np.arange(len(key)), [], size // per
         for k in range(1, MOST_IN_RUN + 1):
             live = live[live + k < len(key)]
@@ -496,26 +517,28 @@ def meetings(packed: DataFrame, per: int) -> DataFrame:
                 break
             other = live + k
             ok = (ref[live] != ref[other]) & meeting(size[live], cell[live], size[other], cell[other], per)
-            found.append(np.stack([ref[live[ok]], ref[other[ok]]], axis=1))
+            found.append(np.stack([live[ok], other[ok]], axis=1))
         hot = np.isin(key, key[live]) if len(live) else np.zeros(len(key), dtype=bool)
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
-        if len(pairs):
-            nothing = pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1)), nothing, nothing.cast(pa.int32())], names=["a", "b", "key", "cell"])
-        if hot.any():
-            keys = (np.int64(bucket) << 32) | key[hot].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ref[hot]), pa.nulls(int(hot.sum()), pa.int64()), pa.array(keys), pa.array(cell[hot].astype(np.int32))], names=["a", "b", "key", "cell"])
+        pairs = np.concatenate([*found, np.empty((0, 2), dtype=np.int64)])
+        pairs = pairs[~hot[pairs[:, 0]]]
+        chain = np.flatnonzero(hot[:-1] & (key[1:] == key[:-1]) & (ref[1:] != ref[:-1]) & (size[1:] - size[:-1] <= edits_of[:-1]))
+        out = []
+        for some in (ref[pairs], np.stack([ref[chain], ref[chain + 1]], axis=1)):
+            some.sort(axis=1)
+            out.append(np.unique(some, axis=0))
+        both = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.arange(len(both)) >= len(out[0]))], names=["a", "b", "many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in slices(batches):
             for row in zip(*columns_of(batch), strict=True):
                 if held and row[0] != held[0][0]:
-                    yield from pairs_of(held)
+                    yield pairs_of(held)
                     held = []
                 held.append(row)
         if held:
-            yield from pairs_of(held)
+            yield pairs_of(held)
 
     return dealt.mapInArrow(run, MEETING)
 
@@ -523,118 +546,119 @@ def meetings(packed: DataFrame, per: int) -> DataFrame:
 LETTERS = 32
 
 
-def letter_counts(text: str) -> np.ndarray:
-    """Counts of characters, and of pairs of characters, in classes. An edit changes two of the first by one, and four of the second."""
+def letter_counts(text: str) -> bytes:
+    """Counts, up to 255, of characters, and of pairs of characters, in classes."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     pairs = mixed(x[1:] * np.uint64(0x1F1F1F1F1) + x[:-1])
-    return np.r_[np.bincount((x % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS), np.bincount((pairs % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS)].astype(np.int32)
+    counts = np.r_[np.bincount((x % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS), np.bincount((pairs % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS)]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def counts_of(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, 2 * LETTERS).astype(np.int16)
 
 
 def far(counts: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """A lower bound of the edits between a line and each of the others, by their letter counts."""
+    """A lower bound of the edits between lines, row by row: an edit changes two counts of characters by one, and four of pairs."""
     gap = np.abs(others - counts)
     return np.maximum((gap[:, :LETTERS].sum(axis=1) + 1) // 2, (gap[:, LETTERS:].sum(axis=1) + 3) // 4)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches sorted by their first column, cut where it changes: no key lies in two of them."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        cut_at = int(np.searchsorted(keys, keys[-1]))
-        if cut_at or (held and held[-1].column(0)[-1].as_py() != keys[0]):
-            yield pa.Table.from_batches([*held, batch.slice(0, cut_at)])
-            held = []
-        held.append(batch.slice(cut_at))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def earlier_pairs(rows: DataFrame, per: int, most: int | None) -> DataFrame:
-    """(line, other): each open line with the `most` lines before it that are least far by their letter counts, or with all that these,
-    the sizes and the places allow. rows: key, doc_id, line_no, line, size, cell, counts, open."""
-    order = ["key", "doc_id", "line_no", "line", "cell"]
-    dealt = rows.select(*order, "size", "counts", "open").repartition(F.col("key")).sortWithinPartitions(*order)
-
+def with_counts(pool: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_runs(batches):
-            key, cell, size, still = (part.column(c).to_numpy() for c in ("key", "cell", "size", "open"))
-            size = np.minimum(size, MOST_SIZE).astype(np.int64)
-            cell = cell.astype(np.int64)
-            counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), dtype="<i4").reshape(len(key), -1)
-            lines = part.column("line").to_pylist()
-            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            pairs: set[tuple[bytes, bytes]] = set()
-            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
-                for i in range(a + 1, b):
-                    if still[i]:
-                        fit = a + np.flatnonzero(meeting(size[a:i], cell[a:i], size[i], cell[i], per))
-                        # sizes of MOST_SIZE stand for larger ones, whose thresholds are not known here
-                        gap = far(counts[i], counts[fit])
-                        may = (gap <= np.minimum(size[fit], size[i]) // per) | (size[i] == MOST_SIZE)
-                        fit = fit[may][np.argsort(gap[may], kind="stable")] if most else fit[may]
-                        pairs.update((lines[i], lines[j]) for j in fit[:most].tolist() if lines[i] != lines[j])
-                        if len(pairs) > 50_000:
-                            yield pair_batch(pairs)
-                            pairs = set()
-            yield pair_batch(pairs)
-
-    return dealt.mapInArrow(run, "line binary, other binary").distinct()
-
-
-def pair_batch(pairs: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], type=pa.binary()) for k in (0, 1)], names=["line", "other"])
-
-
-def verified(pairs: DataFrame, pool: DataFrame, per: int) -> DataFrame:
-    """The first lines of the pairs that are within their threshold."""
+        for batch in slices(batches):
+            ids, texts = columns_of(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.binary()), pa.array([len(t) for t in texts], type=pa.int32()), pa.array([letter_counts(t) for t in texts], type=pa.binary())], names=["line", "size", "counts"])
+
+    return pool.select("line", "text").mapInArrow(run, "line binary, size int, counts binary")
+
+
+def verified(pairs: DataFrame, facts: DataFrame, pool: DataFrame, per: int) -> DataFrame:
+    """The later lines of the pairs (a, b) that are within their threshold. Letter counts rule out most before texts are brought in."""
+    side = lambda s: facts.select(F.col("ref").alias(s), F.struct("doc_id", "line_no", "line", "size", "counts").alias(f"at_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    late, first = F.greatest("at_a", "at_b"), F.least("at_a", "at_b")
+    flat = both.select(*[x[c].alias(f"{c}_{k}") for k, x in (("x", late), ("y", first)) for c in ("line", "size", "counts")])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 10_000):
+            if batch.num_rows:
+                size = np.minimum(batch.column(1).to_numpy(), batch.column(4).to_numpy())
+                gap = far(counts_of(batch.column(2).to_pylist()), counts_of(batch.column(5).to_pylist()))
+                ok = (gap <= edits(size, per)) & (np.abs(batch.column(1).to_numpy() - batch.column(4).to_numpy()) <= edits(size, per))
+                some = batch.filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(3)], names=["line", "other"])
+
+    left = flat.mapInArrow(near, "line binary, other binary").distinct()
     texts = pool.select("line", "text")
-    both = pairs.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("text").alias("other_text")), "other")
+    both = left.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("text").alias("other_text")), "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: set[bytes] = set()
             for line, a, b in zip(*columns_of(batch), strict=True):
-                most = int(edits(min(len(a), len(b)), per))
-                if line not in out and abs(len(a) - len(b)) <= most and far(letter_counts(a), letter_counts(b)[None])[0] <= most and within(a, b, most):
+                if line not in out and within(a, b, int(edits(min(len(a), len(b)), per))):
                     out.add(line)
             yield pa.RecordBatch.from_arrays([pa.array([*out], type=pa.binary())], names=["line"])
 
     return both.select("line", "text", "other_text").mapInArrow(run, "line binary").distinct()
 
 
-def with_counts(pool: DataFrame) -> DataFrame:
+def late_in_cells(edges: DataFrame, facts: DataFrame, pool: DataFrame, per: int) -> DataFrame:
+    """The lines that have an earlier line within their threshold, for lines that common segments tie together: each group of them is
+    cut into classes of size of which a line meets its own and the next, and these into a grid of cells of bounded size."""
+    groups = components(edges).select(F.col("node").alias("ref"), F.col("component").alias("group"))
+    members = cut(facts.join(groups, "ref").select("group", "line", "doc_id", "line_no", "size", F.floor(F.log("size") / math.log1p(1.2 / per)).cast("int").alias("own")))
+    placed = members.select("*", F.explode(F.array("own", F.col("own") + 1)).alias("class"))
+    sizes = placed.groupBy("group", "class").agg(F.greatest(F.ceil(F.count("*") / CELL_LINES), F.ceil(F.sum("size") / CELL_LETTERS)).cast("int").alias("parts"), F.max(F.col("own") == F.col("class")).alias("any"))
+    dealt = placed.join(sizes.where("any").drop("any"), ["group", "class"]).withColumn("part", F.expr("pmod(xxhash64(line), parts)").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("group", "class", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("r"), "doc_id", "line_no", "line", (F.col("own") == F.col("class")).alias("own"), "part")
+    cell, order = ["group", "class", "p", "r"], ["doc_id", "line_no", "line"]
+    rows = dealt.join(pool.select("line", "text"), "line").select(*cell, *order, "own", "part", "text").repartition(*[F.col(c) for c in cell]).sortWithinPartitions(*cell, *order)
+
+    def late_of(rows: list[tuple]) -> list[bytes]:
+        lines, own, part, texts = zip(*(r[6:] for r in rows), strict=True)
+        cross = rows[0][2] != rows[0][3]
+        size, own, part, counts = np.array([len(t) for t in texts]), np.array(own), np.array(part), counts_of([letter_counts(t) for t in texts])
+        out = []
+        for i in range(1, len(rows)):
+            t = edits(np.minimum(size[:i], size[i]), per)
+            fit = np.flatnonzero((np.abs(size[:i] - size[i]) <= t) & (own[:i] | own[i]) & (~cross | (part[:i] != part[i])))
+            gap = far(counts[i][None], counts[fit])
+            near = gap <= t[fit]
+            fit = fit[near][np.argsort(gap[near], kind="stable")]
+            if any(within(texts[i], texts[j], int(t[j])) for j in fit.tolist() if lines[j] != lines[i]):
+                out.append(lines[i])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(late_of(held), type=pa.binary())], names=["line"])
         for batch in slices(batches):
-            ids, texts = columns_of(batch)
-            counts = [letter_counts(t).astype("<i4").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.binary()), pa.array([len(t) for t in texts], type=pa.int32()), pa.array(counts, type=pa.binary())], names=["line", "size", "counts"])
+            for row in zip(*columns_of(batch), strict=True):
+                if held and row[:4] != held[0][:4]:
+                    yield batch_of()
+                    held = []
+                held.append(row)
+        if held:
+            yield batch_of()
 
-    return pool.select("line", "text").mapInArrow(run, "line binary, size int, counts binary")
+    return rows.mapInArrow(run, "line binary").distinct()
 
 
 def near_long_lines(texts: DataFrame, firsts: DataFrame, least: int, bits: int, per: int) -> DataFrame:
     """The lines that have an earlier line within a threshold of two edits or more."""
     buckets = max(LEAST_BUCKETS, BUCKETS_PER_PART * texts.rdd.getNumPartitions())
-    met = cut(meetings(packed_segments(texts, least, per, gram_size(per), buckets), per))
-    pairs, hot = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").select(F.col("a").alias("ref"), "key", "cell").distinct()
+    met = cut(meetings(packed_segments(texts, least, per, gram_size(per), buckets), per).distinct())
     numbered = firsts.where(F.col("size") >= max(least, 2 * per)).withColumn("ref", reference("size", "line")).select("ref", "line", "doc_id", "line_no")
-    refs = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).union(hot.select("ref")).distinct()
-    wanted = cut(numbered.join(refs, "ref", "left_semi"))
+    wanted = cut(numbered.join(met.select(F.col("a").alias("ref")).union(met.select("b")).distinct(), "ref", "left_semi"))
     seen = lines_among(texts, hit_filter(wanted.select(F.col("line").alias("digest")), bits), max(least, 2 * per))
     pool = cut(seen.join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")))
-    side = lambda s: wanted.select(F.col("ref").alias(s), F.struct("doc_id", "line_no", "line").alias(f"at_{s}"))
-    ordered = pairs.join(side("a"), "a").join(side("b"), "b").select(F.greatest("at_a", "at_b")["line"].alias("line"), F.least("at_a", "at_b")["line"].alias("other"))
-    late = cut(verified(ordered, pool, per))
-    if hot.isEmpty():
-        return late
-    rows = cut(hot.join(wanted, "ref").drop("ref").join(with_counts(pool), "line"))
-    for most in (*FIRST_PAIRS, None):  # lines that many others resemble are done after a few
-        rest = rows.join(late.withColumn("late", F.lit(True)), "line", "left").withColumn("open", F.col("late").isNull())
-        late = cut(late.union(verified(earlier_pairs(rest, per, most), pool, per)).distinct())
-    return late
+    facts = cut(wanted.join(with_counts(pool), "line"))
+    late = verified(met.where("not many").select("a", "b"), facts, pool, per)
+    edges = met.where("many").select("a", "b")
+    return late if edges.isEmpty() else late.union(late_in_cells(edges, facts, pool, per))
 
 
 def reference(size: str, line: str):

@@ -257,7 +257,7 @@ def test_distance():
 def test_line_dedup_threshold_grows(spark, monkeypatch, per, most, longest):
     """Lines of all lengths with edits around their threshold, against all pairs. With most = 2 nearly all segments count as common."""
     monkeypatch.setattr(line_dedup, "MOST_IN_RUN", most)
-    monkeypatch.setattr(line_dedup, "FIRST_PAIRS", (1, 2))
+    monkeypatch.setattr(line_dedup, "CELL_LINES", 4000 if most == 64 else 5)
     rng = random.Random(per + longest)
     base = ["".join(rng.choices("abcdefgh ", k=rng.randrange(15, longest))) for _ in range(10)] + ["ab" * 100, "x" * 200]
 
@@ -286,7 +286,7 @@ def test_segments_survive_edits():
             letters[k : k + (kind != 1)] = [] if kind == 2 else [rng.choice("abcd")]
         b = "".join(letters)
         if min(len(a), len(b)) >= 60 and helpers.distance(a, b) <= min(len(a), len(b)) // 30:
-            of = [dict(zip(*(x.tolist() for x in line_dedup.segments([x], 30, 12)[::2]), strict=True)) for x in (a, b)]
+            of = [dict(zip(*(x.tolist() for x in line_dedup.segments([x], 30, line_dedup.gram_size(30))[::2]), strict=True)) for x in (a, b)]
             assert set(of[0]) & set(of[1])
 
 
