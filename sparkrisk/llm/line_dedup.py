@@ -55,7 +55,7 @@ MOST_SEEN = 400_000
 #: Characters per edit of the queries: a line of 250 characters may differ in 8, a word or two.
 CHARS_PER_EDIT = 30
 #: Lines, and their characters, that meet in one task.
-CELL_LINES, CELL_LETTERS = 4_000, 8_000_000
+CELL_LINES, CELL_LETTERS = 1_000, 8_000_000
 #: Segments that a task sorts at once, and buckets of keys: these grow with the table's parts, so that one bucket fits into a task.
 SEGMENTS_AT_ONCE, LEAST_BUCKETS, BUCKETS_PER_PART = 1_500_000, 4096, 64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -373,32 +373,50 @@ def disjoint(places: np.ndarray, begin: np.ndarray, end: np.ndarray, need: np.nd
     return count
 
 
+def grams(lines: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place in all letters) of the grams of q characters, of which some run over a line's end."""
+    letters = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if len(letters) < q:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    up, down = powers(max(LETTERS_AT_ONCE, 1 << (len(letters) + 1).bit_length()))
+    sums = np.zeros(len(letters) + 1, dtype=np.uint64)
+    np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * up[: len(letters)], out=sums[1:])
+    h = sums[q:] - sums[:-q]
+    h *= down[: len(h)]
+    return mixed(h), np.arange(len(h))
+
+
 def segments(lines: list[str], per: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, line, place) of each line's segments: its grams with a hash below the line's bound, where the bound is (up to a step) the
     least one below which threshold-plus-one grams share no character."""
-    text = Substrings(lines)
-    sizes = text.end - text.begin
-    need = sizes // per + 1
-    of = np.repeat(np.arange(len(lines)), sizes)
-    at = np.flatnonzero(text.end[of] - np.arange(len(of)) >= q)
-    h, of = mixed(mixed(text.hash(at, at + q)) + np.uint64(q)), of[at]
+    sizes = np.array([len(x) for x in lines], dtype=np.int64)
+    end = np.cumsum(sizes)
+    begin, need = end - sizes, sizes // per + 1
     usual = np.minimum(1.0, 1.0 / np.maximum(1.0, sizes / need - q))  # share of grams at which this many are disjoint, on average
-    bound = np.zeros(len(lines))
-    share, live = 0.8 * usual, np.ones(len(lines), dtype=bool)
-    scaled = h.astype(np.float64) / 2.0**64
-    some = scaled < 3.2 * usual[of]
-    h_some, of_some, at_some = scaled[some], of[some], at[some]
+    h, at = grams(lines, q)
+    h >>= np.uint64(1)  # keeps bounds within the range of whole numbers
+    whole = lambda share: (np.minimum(share, 1.0) * 2.0**63).astype(np.uint64)
+    some = np.flatnonzero(h < whole(3.2 * usual.max(initial=0)))
+    of = np.searchsorted(end, at[some], side="right")
+    inside = at[some] + q <= end[of]
+    of, at_some, h_some = of[inside], at[some][inside], h[some][inside]
+    bound = np.zeros(len(lines), dtype=np.uint64)
+    share, live = 0.9 * usual, np.ones(len(lines), dtype=bool)
     while live.any():
-        step = h_some < np.where(live, share, 0)[of_some]
-        found = disjoint(at_some[step], text.begin[live], text.end[live], need[live], q)
+        limit = np.where(live, whole(share), np.uint64(0))
+        found = disjoint(at_some[h_some < limit[of]], begin[live], end[live], need[live], q)
         done = np.flatnonzero(live)[found >= need[live]]
-        bound[done] = share[done]
+        bound[done] = limit[done]
         live[done] = False
-        share = share * 1.2
-        late = live & (share > 3.2 * usual)
-        bound[late], live[late] = 2.0, False  # all grams of a line that repeats itself
-    picked = scaled < bound[of]
-    return mixed(h[picked] ^ np.uint64(0x2545F4914F6CDD1D)), of[picked], (at - text.begin[of])[picked]
+        share = share * 1.25
+        live &= share <= 3.2 * usual
+    picked = h_some < bound[of]
+    keys, lines_of, places = h_some[picked], of[picked], at_some[picked]
+    rest = np.flatnonzero(bound == 0)  # lines that repeat themselves: all their grams
+    if len(rest):
+        at = np.concatenate([np.arange(begin[k], end[k] - q + 1) for k in rest])
+        keys, lines_of, places = np.r_[keys, h[at]], np.r_[lines_of, np.repeat(rest, np.maximum(0, sizes[rest] - q + 1))], np.r_[places, at]
+    return mixed(keys ^ np.uint64(0x2545F4914F6CDD1D)), lines_of, places - begin[lines_of]
 
 
 def width_of(size: np.ndarray, per: int) -> np.ndarray:
@@ -480,6 +498,8 @@ def packed_segments(texts: DataFrame, least: int, per: int, q: int, buckets: int
                         seen.add(ref)
                         new.append(line)
                         refs.append(ref & 0xFFFFFFFF)
+            by_size = sorted(range(len(new)), key=lambda k: len(new[k]))  # lines of one size need about the same share of their grams
+            new, refs = [new[k] for k in by_size], [refs[k] for k in by_size]
             for a, b in batches_of(new):
                 key, of, place = segments(new[a:b], per, q)
                 size = np.array([len(x) for x in new[a:b]])[of]
@@ -505,25 +525,35 @@ def meetings(segments_of: DataFrame, per: int) -> DataFrame:
     dealt = segments_of.repartition(F.col("bucket")).sortWithinPartitions("bucket")
 
     def pairs_of(rows: list[tuple]) -> pa.RecordBatch:
-        key, ref, size, cell = (np.concatenate(c) for c in zip(*(unpacked(r[1], r[2]) for r in rows), strict=True))
+        parts = [unpacked(r[1], r[2]) for r in rows]
+        key, ref, size, cell = (np.concatenate(c) for c in zip(*parts, strict=True))
+        key |= np.repeat(np.array([r[0] for r in rows], dtype=np.int64), [len(x[0]) for x in parts]) << 32
         order = np.lexsort((size, key))
         key, size, cell = key[order], size[order], cell[order]
         ref = size << 32 | ref[order]
-        live, found, edits_of = np.arange(len(key)), [], size // per
+        # a row's window: the rows behind it with the same key and a size within the row's threshold
+        last = np.searchsorted(key, key, side="right")
+        live, found, edits_of = np.flatnonzero(last - np.arange(len(key)) > 1), [], size // per
         for k in range(1, MOST_IN_RUN + 1):
-            live = live[live + k < len(key)]
-            live = live[(key[live] == key[live + k]) & (size[live + k] - size[live] <= edits_of[live])]
+            live = live[live + k < last[live]]
+            live = live[size[live + k] - size[live] <= edits_of[live]]
             if not len(live):
                 break
             other = live + k
             ok = (ref[live] != ref[other]) & meeting(size[live], cell[live], size[other], cell[other], per)
             found.append(np.stack([live[ok], other[ok]], axis=1))
-        hot = np.isin(key, key[live]) if len(live) else np.zeros(len(key), dtype=bool)
+        dense = np.zeros(len(key), dtype=bool)  # rows with too many in their windows, whose pairs are found in cells
+        dense[live] = True
         pairs = np.concatenate([*found, np.empty((0, 2), dtype=np.int64)])
-        pairs = pairs[~hot[pairs[:, 0]]]
-        chain = np.flatnonzero(hot[:-1] & (key[1:] == key[:-1]) & (ref[1:] != ref[:-1]) & (size[1:] - size[:-1] <= edits_of[:-1]))
+        pairs = pairs[~dense[pairs[:, 0]]]
+        cover = np.zeros(len(key) + 1, dtype=np.int64)
+        for i in live.tolist():
+            cover[i] += 1
+            cover[i + np.searchsorted(size[i : last[i]], size[i] + edits_of[i], side="right") - 1] -= 1
+        chain = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+        chain = chain[ref[chain] != ref[chain + 1]]
         out = []
-        for some in (ref[pairs], np.stack([ref[chain], ref[chain + 1]], axis=1)):
+        for some in (ref[pairs], np.stack([ref[chain], ref[np.minimum(chain + 1, len(ref) - 1)]], axis=1)):
             some.sort(axis=1)
             out.append(np.unique(some, axis=0))
         both = np.concatenate(out)
@@ -531,12 +561,14 @@ def meetings(segments_of: DataFrame, per: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         for batch in slices(batches):
             for row in zip(*columns_of(batch), strict=True):
-                if held and row[0] != held[0][0]:
+                if size >= SEGMENTS_AT_ONCE // 4 and row[0] != held[-1][0]:  # several buckets at once, and each one whole
                     yield pairs_of(held)
-                    held = []
+                    held, size = [], 0
                 held.append(row)
+                size += len(row[2]) // 4
         if held:
             yield pairs_of(held)
 

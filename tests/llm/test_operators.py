@@ -167,7 +167,10 @@ def test_topk(spark, monkeypatch):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1_000_000, 20])
+def test_components(spark, monkeypatch, at_once):
+    """In one task, and in several with joins between them."""
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", at_once)
     rng = random.Random(9)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
     label = {x: x for p in pairs for x in p if p[0] != p[1]}
