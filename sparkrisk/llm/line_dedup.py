@@ -56,8 +56,8 @@ MOST_SEEN = 400_000
 CHARS_PER_EDIT = 30
 #: Lines, and their characters, that meet in one task.
 CELL_LINES, CELL_LETTERS = 1_000, 8_000_000
-#: Segments that a task sorts at once, and buckets of keys: these grow with the table's parts, so that one bucket fits into a task.
-SEGMENTS_AT_ONCE, LEAST_BUCKETS, BUCKETS_PER_PART = 1_500_000, 4096, 64
+#: Segments that a task sorts at once, and buckets of keys: these grow with the table's parts, within bounds.
+SEGMENTS_AT_ONCE, LEAST_BUCKETS, MOST_BUCKETS, BUCKETS_PER_PART = 1_500_000, 4096, 1 << 15, 64
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -401,15 +401,18 @@ def segments(lines: list[str], per: int, q: int) -> tuple[np.ndarray, np.ndarray
     inside = at[some] + q <= end[of]
     of, at_some, h_some = of[inside], at[some][inside], h[some][inside]
     bound = np.zeros(len(lines), dtype=np.uint64)
-    share, live = 0.9 * usual, np.ones(len(lines), dtype=bool)
+    share, live = usual, np.ones(len(lines), dtype=bool)
+    h_live, of_live, at_live = h_some, of, at_some
     while live.any():
-        limit = np.where(live, whole(share), np.uint64(0))
-        found = disjoint(at_some[h_some < limit[of]], begin[live], end[live], need[live], q)
+        limit = whole(share)
+        found = disjoint(at_live[h_live < limit[of_live]], begin[live], end[live], need[live], q)
         done = np.flatnonzero(live)[found >= need[live]]
         bound[done] = limit[done]
         live[done] = False
         share = share * 1.25
         live &= share <= 3.2 * usual
+        left = live[of_live]
+        h_live, of_live, at_live = h_live[left], of_live[left], at_live[left]
     picked = h_some < bound[of]
     keys, lines_of, places = h_some[picked], of[picked], at_some[picked]
     rest = np.flatnonzero(bound == 0)  # lines that repeat themselves: all their grams
@@ -483,9 +486,10 @@ def packed_segments(texts: DataFrame, least: int, per: int, q: int, buckets: int
         def flush() -> pa.RecordBatch:
             key, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            bucket, key = (key >> np.uint64(32)) % np.uint64(buckets), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            order = np.lexsort((key, bucket))
-            bucket, columns = bucket[order], [x[order] for x in (key, *rest)]
+            dealt = (key >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
+            order = np.argsort(dealt)
+            dealt = dealt[order]
+            bucket, columns = dealt >> np.uint64(32), [(dealt & np.uint64(0xFFFFFFFF)).astype(np.uint32), *(x[order] for x in rest)]
             begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             rows = [packed(*(x[a:b] for x in columns)) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int64)), *(pa.array(c, type=pa.binary()) for c in zip(*rows, strict=True))], names=["bucket", "rows", "refs"])
@@ -528,11 +532,13 @@ def meetings(segments_of: DataFrame, per: int) -> DataFrame:
         parts = [unpacked(r[1], r[2]) for r in rows]
         key, ref, size, cell = (np.concatenate(c) for c in zip(*parts, strict=True))
         key |= np.repeat(np.array([r[0] for r in rows], dtype=np.int64), [len(x[0]) for x in parts]) << 32
-        order = np.lexsort((size, key))
-        key, size, cell = key[order], size[order], cell[order]
+        place = key << 16 | size  # buckets stay below 2^15
+        order = np.argsort(place)
+        place, key, size, cell = place[order], key[order], size[order], cell[order]
         ref = size << 32 | ref[order]
         # a row's window: the rows behind it with the same key and a size within the row's threshold
-        last = np.searchsorted(key, key, side="right")
+        counts = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
+        last = np.repeat(np.cumsum(counts), counts)
         live, found, edits_of = np.flatnonzero(last - np.arange(len(key)) > 1), [], size // per
         for k in range(1, MOST_IN_RUN + 1):
             live = live[live + k < last[live]]
@@ -547,9 +553,8 @@ def meetings(segments_of: DataFrame, per: int) -> DataFrame:
         pairs = np.concatenate([*found, np.empty((0, 2), dtype=np.int64)])
         pairs = pairs[~dense[pairs[:, 0]]]
         cover = np.zeros(len(key) + 1, dtype=np.int64)
-        for i in live.tolist():
-            cover[i] += 1
-            cover[i + np.searchsorted(size[i : last[i]], size[i] + edits_of[i], side="right") - 1] -= 1
+        np.add.at(cover, live, 1)
+        np.add.at(cover, np.minimum(np.searchsorted(place, place[live] + edits_of[live], side="right"), last[live]) - 1, -1)
         chain = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
         chain = chain[ref[chain] != ref[chain + 1]]
         out = []
@@ -651,18 +656,26 @@ def late_in_cells(edges: DataFrame, facts: DataFrame, pool: DataFrame, per: int)
 
     def late_of(rows: list[tuple]) -> list[bytes]:
         lines, own, part, texts = zip(*(r[6:] for r in rows), strict=True)
-        cross = rows[0][2] != rows[0][3]
         size, own, part, counts = np.array([len(t) for t in texts]), np.array(own), np.array(part), counts_of([letter_counts(t) for t in texts])
-        out = []
-        for i in range(1, len(rows)):
-            t = edits(np.minimum(size[:i], size[i]), per)
-            fit = np.flatnonzero((np.abs(size[:i] - size[i]) <= t) & (own[:i] | own[i]) & (~cross | (part[:i] != part[i])))
-            gap = far(counts[i][None], counts[fit])
-            near = gap <= t[fit]
-            fit = fit[near][np.argsort(gap[near], kind="stable")]
-            if any(within(texts[i], texts[j], int(t[j])) for j in fit.tolist() if lines[j] != lines[i]):
-                out.append(lines[i])
-        return out
+        t = np.minimum(size[:, None], size[None, :]) // per
+        fit = np.tril(np.abs(size[:, None] - size[None, :]) <= t, -1) & (own[:, None] | own[None, :])
+        if rows[0][2] != rows[0][3]:
+            fit &= part[:, None] != part[None, :]
+        # an edit moves counts of characters by a vector of length 1.5 at most, and those of pairs by one of length 3
+        for some, length in ((counts[:, :LETTERS], 1.5), (counts[:, LETTERS:], 3.0)):
+            x = some.astype(np.float32)
+            square = (x * x).sum(axis=1)
+            fit &= square[:, None] + square[None, :] - 2 * (x @ x.T) <= (length * t) ** 2
+        late, early = np.nonzero(fit)
+        gap = np.concatenate([far(counts[late[k : k + 10_000]], counts[early[k : k + 10_000]]) for k in range(0, len(late), 10_000)] or [late])
+        near = gap <= t[late, early]
+        late, early, gap = late[near], early[near], gap[near]
+        order = np.lexsort((gap, late))
+        out: dict[int, bool] = {}
+        for i, j in zip(late[order].tolist(), early[order].tolist(), strict=True):
+            if i not in out and lines[i] != lines[j] and within(texts[i], texts[j], int(t[i, j])):
+                out[i] = True
+        return [lines[i] for i in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -681,7 +694,7 @@ def late_in_cells(edges: DataFrame, facts: DataFrame, pool: DataFrame, per: int)
 
 def near_long_lines(texts: DataFrame, firsts: DataFrame, least: int, bits: int, per: int) -> DataFrame:
     """The lines that have an earlier line within a threshold of two edits or more."""
-    buckets = max(LEAST_BUCKETS, BUCKETS_PER_PART * texts.rdd.getNumPartitions())
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, BUCKETS_PER_PART * texts.rdd.getNumPartitions()))
     met = cut(meetings(packed_segments(texts, least, per, gram_size(per), buckets), per).distinct())
     numbered = firsts.where(F.col("size") >= max(least, 2 * per)).withColumn("ref", reference("size", "line")).select("ref", "line", "doc_id", "line_no")
     wanted = cut(numbered.join(met.select(F.col("a").alias("ref")).union(met.select("b")).distinct(), "ref", "left_semi"))
