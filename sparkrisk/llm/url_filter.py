@@ -1,12 +1,14 @@
 """URL filter over a sorted digest array.
 
 The rules' strings are hashed with 64-bit xxhash; the sorted keys lie in a file that each worker memory-maps, with the strings
-beside them. Every host suffix of a url joined with every path prefix of a length that some rule has is a probe; all probes of a
-batch go through one binary search, and a key that is found counts only if the stored string equals the probe, so that collisions
-cannot decide. Of a url's rules the longest wins.
+beside them. A probe is a host's tail of whole labels joined with a beginning of the path, for each pair of lengths that some rule
+has, so that very long hosts and paths cost no more than short ones. All probes of a batch go through one binary search, and a key
+that is found counts only if the stored string equals the probe, so that collisions cannot decide. Of a url's rules the longest wins.
+Two verdicts for one rule, or a verdict other than block and allow, are errors.
 
 The file reaches the executors as a Spark file, so nothing needs a folder that they share. A null url or one without "://" has an
-empty host and path, meets no rule and gets the default verdict. Urls are judged row by row: repeated rows get equal results.
+empty host and path, meets no rule and gets the default verdict. Urls are judged row by row: repeated rows get
+equal results, and an empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +45,13 @@ def key_of(text: str) -> int:
 
 
 def build(rules: list[Rule], hash_of=key_of) -> bytes:
-    """The index: number of keys, sorted keys, offsets of the strings, verdicts, path lengths, strings."""
+    """The index: number of keys, sorted keys, offsets of the strings, verdicts, host and path lengths, strings."""
+    verdicts: dict[tuple[str, str], str] = {}
+    for host, path, verdict in rules:
+        if verdict not in ("block", "allow"):
+            raise ValueError(f"the verdict of {host}{path} is neither block nor allow: {verdict}")
+        if verdicts.setdefault((host, path), verdict) != verdict:
+            raise ValueError(f"two verdicts for {host}{path}")
     entries = sorted((hash_of(host + path), f"{host}{path}".encode(), len(host), len(path), verdict) for host, path, verdict in set(rules))
     n = len(entries)
     text = b"".join(e[1] for e in entries)
@@ -63,7 +71,7 @@ class DigestArray:
         self.keys, self.ends = at(8, n), at(8 + 8 * n, n + 1)
         self.blocked, self.hosts, self.paths = (at(16 + 16 * n + 8 * n * k, n) for k in range(3))
         self.text = whole[16 + 40 * n :]
-        self.path_lengths = sorted(set(self.paths.tolist()))
+        self.lengths = sorted(set(zip(self.hosts.tolist(), self.paths.tolist(), strict=True)))
 
     def rule(self, i: int) -> str:
         return self.text[int(self.ends[i]) : int(self.ends[i + 1])].tobytes().decode()
@@ -87,13 +95,11 @@ class DigestArray:
         """The longest fitting rule of each url, or -1; of equally long ones that with the longer host."""
         probes, owner = [], []
         for k, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            labels = host.split(".")
-            for j in range(len(labels)):
-                tail = ".".join(labels[j:])
-                for n in self.path_lengths:
-                    if n <= len(path):
-                        probes.append((tail + path[:n], len(tail)))
-                        owner.append(k)
+            for n, m in self.lengths:  # only tails and beginnings of the lengths that some rule has
+                at = len(host) - n
+                if m <= len(path) and (at == 0 or at > 0 and host[at - 1] == "."):
+                    probes.append((host[at:] + path[:m], n))
+                    owner.append(k)
         keys = np.fromiter((self.hash_of(p) for p, _ in probes), dtype=np.uint64, count=len(probes))
         best = [-1] * len(hosts)
         size = lambda i: (int(self.hosts[i] + self.paths[i]), int(self.hosts[i])) if i >= 0 else (-1, -1)
