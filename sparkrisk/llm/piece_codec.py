@@ -2,11 +2,15 @@
 
 A text is put into the form that the model's identity normaliser gives (one space in front, spaces as U+2581) and cut where a run
 of U+2581 begins; no piece of the vocabulary crosses such a cut, which is checked on loading. The distinct words that a worker has
-not seen yet lie in one flat array of symbols. In each round, every word's best pair (highest score, leftmost among equals) is
-found by a segmented minimum and all these merges are made at once; words without a pair leave, and the array is compacted until
-none is left. Very long words go through a heap instead, with the same rule. Characters without a piece fall back to bytes.
-
-Decoding joins the pieces' bytes. Nulls count as empty: begin and end ids only, and an empty decoded text.
+not seen yet lie in one flat array of symbols, cut further into segments between characters that stand side by side in no piece, as
+no merge crosses these. In each round, every segment's best rank is found by a segmented minimum, and the pairs of that rank are
+merged at once, from the left, as far as this equals merging one after another: none that overlaps the one before, and none behind
+one whose merge makes a pair that is no worse. Segments without a pair leave, and the array is compacted until none is left. Segments
+of more than LONG_SEGMENT characters, each of which stands beside its neighbours in some piece, go through a heap instead, with the
+same result, as rounds over them could take quadratic time. Characters without a piece fall back to bytes.
+
+Decoding joins the pieces' bytes. Nulls count as empty: begin and end ids only, and an empty decoded text. Repeated rows are coded
+each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Characters of remembered words; then a worker's memory starts anew.
 MOST_LETTERS = 4_000_000
-#: Words of more symbols are merged one pair at a time with a heap: rounds over them would take quadratic time.
-LONG_WORD = 512
+#: Characters of a segment that still goes through the rounds.
+LONG_SEGMENT = 4096
 NONE = np.iinfo(np.int64).max
 codecs.register_error("piece_byte", lambda e: ("�", e.start + 1))
 
@@ -68,6 +72,10 @@ class PieceCodec:
         at = np.argsort(key)
         self.key, self.merged = key[at], np.array(merged, dtype=np.int64)[at]
         self.rank = np.array([order[sp.get_score(i)] for i in merged], dtype=np.int64)[at]
+        self.neighbours = np.unique([ord(a) << 21 | ord(b) for name in ids for a, b in zip(name, name[1:], strict=False)])
+        odd = "A \u00e9\u0301\ufb01\u00a0\u3000 "  # what other normalisers would change
+        if sp.decode(sp.encode(odd)) != odd:
+            raise ValueError("the vocabulary's normaliser changes texts; this codec takes them as they are")
         self.words: dict[str, bytes] = {}  # ids by word without its first U+2581
         self.letters = 0
 
@@ -79,33 +87,61 @@ class PieceCodec:
 
     def rounds(self, words: list[str]) -> list[np.ndarray]:
         """Final symbols of each word."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        lengths = np.array([len(w) for w in words])
-        symbols = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")]
-        word = np.repeat(np.arange(len(words)), lengths)
+        code = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])
+        # a segment ends with its word, and between two characters that no piece has side by side
+        apart = ~np.isin(code[:-1] << 21 | code[1:], self.neighbours)
+        apart[ends[:-1] - 1] = True
+        segment = np.r_[0, np.cumsum(apart)]
+        symbols, at = self.symbol[code], np.arange(len(code))
+        done_symbols, done_at = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        sizes = np.bincount(segment)
+        for k in np.flatnonzero(sizes > LONG_SEGMENT):
+            here = np.flatnonzero(segment == k)
+            left = self.one_by_one(symbols[here])
+            done_symbols.append(left[left >= 0]), done_at.append(here[left >= 0])
+        short = sizes[segment] <= LONG_SEGMENT
+        symbols, segment, at = symbols[short], segment[short], at[short]
         while len(symbols):
-            begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            rank, at = self.pairs(symbols, np.r_[symbols[1:], 0])
-            rank[np.r_[begins[1:], len(symbols)] - 1] = NONE  # a word's last symbol has no partner
-            best = np.minimum.reduceat(rank, begins)
+            rank, place = self.pairs(symbols, np.r_[symbols[1:], 0])
+            begins = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
             size = np.diff(np.r_[begins, len(symbols)])
+            ends_at = begins + size - 1
+            rank[ends_at] = NONE  # a segment's last symbol has no partner
+            best = np.repeat(np.minimum.reduceat(rank, begins), size)
             done = best == NONE
-            for b, s in zip(begins[done], size[done], strict=True):
-                out[word[b]] = symbols[b : b + s]
-            is_best = (rank == np.repeat(best, size)) & (rank != NONE)
-            hits = np.flatnonzero(is_best)
-            first = hits[np.r_[True, word[hits][1:] != word[hits][:-1]]] if len(hits) else hits
-            symbols = symbols.copy()
-            symbols[first] = self.merged[at[first]]
-            keep = ~np.repeat(done, size)
-            keep[first + 1] = False
-            symbols, word = symbols[keep], word[keep]
-        return out
-
-    def one_by_one(self, word: str) -> np.ndarray:
-        """The same merges for a very long word, with a heap over its pairs and links between its symbols."""
-        symbols = self.symbol[np.frombuffer(word.encode("utf-32-le"), dtype="<u4")]
-        rank, at = self.pairs(symbols[:-1], symbols[1:])
+            hits = np.flatnonzero((rank == best) & ~done)
+            if len(hits):
+                hits = self.together(hits, symbols, segment, best, place)
+            symbols[hits] = self.merged[place[hits]]
+            done_symbols.append(symbols[done]), done_at.append(at[done])
+            keep = ~done
+            keep[hits + 1] = False
+            symbols, segment, at = symbols[keep], segment[keep], at[keep]
+        at = np.concatenate(done_at)
+        order = np.argsort(at)
+        symbols, at = np.concatenate(done_symbols)[order], at[order]
+        return np.split(symbols, np.searchsorted(at, ends[:-1]))
+
+    def together(self, hits: np.ndarray, symbols: np.ndarray, segment: np.ndarray, best: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of the pairs of their segments' best rank those that merge in this round as they would one after another, from the left:
+        none that overlaps the one before, and none behind one whose merge makes a pair that is no worse."""
+        run = np.r_[True, np.diff(hits) != 1]
+        first = np.flatnonzero(run)
+        hits = hits[(np.arange(len(hits)) - np.repeat(first, np.diff(np.r_[first, len(hits)]))) % 2 == 0]
+        new, of, n = self.merged[place[hits]], segment[hits], len(symbols)
+        before, behind = np.maximum(hits - 1, 0), np.minimum(hits + 2, n - 1)
+        touching = np.r_[False, hits[1:] - hits[:-1] == 2]
+        left = np.where(touching, np.r_[0, new[:-1]], symbols[before])
+        loud = (self.pairs(left, new)[0] <= best[hits]) & (hits > 0) & (segment[before] == of)
+        loud |= (self.pairs(new, symbols[behind])[0] <= best[hits]) & (hits + 2 < n) & (segment[behind] == of)
+        begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        earlier = np.cumsum(loud) - loud  # loud ones before each
+        return hits[earlier == np.repeat(earlier[begins], np.diff(np.r_[begins, len(hits)]))]
+
+    def one_by_one(self, symbols: np.ndarray) -> np.ndarray:
+        """The same merges for one very long segment, with a heap over its pairs; -1 where a symbol went into the one before."""
+        rank, _ = self.pairs(symbols[:-1], symbols[1:])
         heap = [(int(rank[i]), int(i), int(symbols[i]), int(symbols[i + 1])) for i in np.flatnonzero(rank != NONE)]
         heapq.heapify(heap)
         sym, n = symbols.tolist(), len(symbols)
@@ -130,7 +166,7 @@ class PieceCodec:
                 push(i, after[i])
             if before[i] >= 0:
                 push(before[i], i)
-        return np.array([s for s in sym if s >= 0], dtype=np.int64)
+        return np.array(sym, dtype=np.int64)
 
     def ids_of(self, symbols: np.ndarray) -> bytes:
         if not (symbols >= self.n).any():
@@ -146,11 +182,9 @@ class PieceCodec:
             self.letters = 0
         new = [w for w in words if w not in self.words]
         self.letters += sum(map(len, new))
-        short = [w for w in new if len(w) < LONG_WORD]
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
             self.words.update(zip(part, map(self.ids_of, self.rounds([SPACE + w for w in part])), strict=True))
-        self.words.update((w, self.ids_of(self.one_by_one(SPACE + w))) for w in new if len(w) >= LONG_WORD)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end ids, as little-endian unsigned 32-bit integers."""
