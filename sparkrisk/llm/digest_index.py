@@ -165,7 +165,7 @@ def entries(digests: np.ndarray, ids: np.ndarray, rows: np.ndarray, counts: np.n
         yield pa.RecordBatch.from_arrays(arrays, names=["digest", "keep_id", "keep_row", "group_size"])
 
 
-def runs_of(rows: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+def runs_of(rows: DataFrame, most: int) -> DataFrame:
     """Each task's compacted runs over rows (digest, id, row): one, or more where a task has more than `most` digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +200,9 @@ def compacted(runs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, ENTRY)
 
 
-def build_index(digests: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+def build_index(digests: DataFrame, most: int | None = None) -> DataFrame:
     """An entry per digest of rows (digest, doc_id, row). A digest that many rows share has few entries per task when it is dealt out."""
-    return compacted(runs_of(digests.select("digest", "doc_id", "row"), most))
+    return compacted(runs_of(digests.select("digest", "doc_id", "row"), most or MOST_ENTRIES))
 
 
 def hit_filter(digests: DataFrame, most: int) -> Filter | None:

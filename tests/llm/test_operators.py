@@ -76,11 +76,28 @@ def test_piece_codec(spark, texts, random_texts):
     assert [r["n_tokens"] for r in rows] == [2, 2]
 
 
-def test_piece_codec_heap_equals_rounds():
+@pytest.mark.parametrize("longest", [4096, 30])
+def test_piece_codec_rounds_equal_single_merges(monkeypatch, longest):
+    """Merges of a rank at once, and the heap, against the leftmost best pair, one after another; short and very long words."""
+    monkeypatch.setattr(piece_codec, "LONG_SEGMENT", longest)
     own = piece_codec.codec(PIECES)
     rng = random.Random(2)
-    words = ["▁" + "".join(rng.choices("abcdeéstionß中", k=rng.randrange(1, 40))) for _ in range(300)]
-    assert all((a == own.one_by_one(w)).all() for w, a in zip(words, own.rounds(words), strict=True))
+    words = ["▁" + "".join(rng.choices("abcdeéstionß中aaa", k=rng.randrange(1, 40))) for _ in range(300)] + ["▁" + "a" * 700, "▁" + "abab" * 200, "▁" + "ationa" * 150]
+    for w, got in zip(words, own.rounds(words), strict=True):
+        symbols = own.symbol[np.frombuffer(w.encode("utf-32-le"), dtype="<u4")]
+        while len(symbols) > 1:
+            rank, at = own.pairs(symbols[:-1], symbols[1:])
+            k = int(rank.argmin())
+            if rank[k] == piece_codec.NONE:
+                break
+            symbols = np.r_[symbols[:k], own.merged[at[k]], symbols[k + 2 :]]
+        assert (got == symbols).all(), w[:50]
+
+
+def test_piece_codec_of_nothing_and_repeats(spark):
+    assert piece_codec.round_trips(frame(spark, []), PIECES).count() == 0
+    docs = frame(spark, ["same", "same"], ids=[4, 4]).withColumn("n_tokens", F.lit("mine"))
+    assert [r["n_tokens"] for r in piece_codec.round_trips(docs, PIECES).collect()] == [3, 3]
 
 
 def test_packing(spark, texts):
@@ -117,6 +134,19 @@ def test_best_fit_takes_the_tightest_window():
         assert len(packing.best_fit_decreasing(lengths, window)) == sum(n // window for n in lengths) + len(open_to)
 
 
+def test_url_filter_of_long_hosts_and_bad_rules(spark, tmp_path):
+    import time
+
+    long = "a." * 200_000 + "net"
+    began = time.time()
+    rows = url_filter.filter_urls(spark.createDataFrame([(1, f"x://{long}/{'p' * 100_000}"), (1, f"x://{long}"), (2, "x://" + "b" * 300_000)], "page_id long, url string"), URL_RULES).collect()
+    assert [r["rule"] for r in rows] == ["net/", None, None] and time.time() - began < 60
+    assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, host string"), URL_RULES).count() == 0
+    for bad in ([("a", "/", "block"), ("a", "/", "allow")], [("a", "/", "drop")]):
+        with pytest.raises(ValueError):
+            url_filter.build(bad)
+
+
 def test_url_filter(spark, tmp_path):
     urls = ["http://a.b.net/x", "HTTPS://A.Example.NET/en/q?x", "http://example.net/EN/", "ftp://net", "http://xnet/a", "http://example.com/de/a#b", "http://x.org/fr/", "http://é.org/fr/Ü", None, "", "no scheme", "http://a?b://c.net/", "x://u@Y.Net:80/p\nq?r"]
     got = {r["page_id"]: tuple(r)[1:] for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("")), URL_RULES).collect()}
@@ -214,6 +244,31 @@ def test_ngram_join_keeps_one_of_each(spark):
     assert ngram_join.similarity_classes(frame(spark, [])).count() == 0
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    """An id with two texts is one document: what either is linked with is linked with both. Of its rows one stays."""
+    a, b = ([f"{c}{k}" for k in range(40)] for c in "ab")
+    docs = frame(spark, [" ".join(a), " ".join(b[:12]), " ".join([*a, "x"]), " ".join([*b[:12], "y"]), " ".join(a)], ids=[1, 1, 2, 3, 1]).withColumn("_gone", F.lit(1))
+    got = sorted(tuple(r) for r in ngram_join.similarity_classes(docs).collect())
+    assert got == [(1, 8, 1), (1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 9, 1)]
+    left = ngram_join.one_of_each(docs)
+    assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [1]
+
+
+def test_exact_dedup_of_repeated_rows(spark):
+    docs = frame(spark, ["a", "a", "a", "b", "a"], ids=[1, 1, 2, 1, None]).repartition(3)
+    got = sorted(tuple(r)[:4] for r in digest_index.exact_duplicates(docs).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 3, False), (1, 1, 3, True), (2, 1, 3, False)]
+
+
+def test_exact_dedup_with_small_memories(spark, monkeypatch):
+    """Many flushes and runs, no filter, and forgetful comparisons give the same groups."""
+    for name, value in (("MEMTABLE", 3), ("MOST_ENTRIES", 10), ("MOST_LETTERS", 20)):
+        monkeypatch.setattr(digest_index, name, value)
+    docs = [f"t{k % 37}" for k in range(300)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in digest_index.exact_duplicates(frame(spark, docs).repartition(3), digest_bytes=1, hit_bits=1 << 4).collect()}
+    assert got == helpers.copies(enumerate(docs))
+
+
 def test_cell_links_stay_linear():
     base = np.sort(np.random.default_rng(1).integers(0, 2**63, 60).astype(np.uint64))
     sets = [np.sort(np.r_[base[:-1], np.uint64(k)]) for k in range(400)]
