@@ -12,6 +12,7 @@ it scans, and a repeated task gives the same rows again, as sequence ids derive
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,9 +40,14 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = pt.load(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary need more than two bytes")
 
     def __missing__(self, word: str) -> bytes:
-        tokens = [t.id for part in pt.WORD_PATTERN.findall(word) for t in self.tokenizer.model.tokenize(pt.byte_level(part))]
+        if not pt.KNOWN.fullmatch(word):
+            tokens = self.tokenizer.encode(word, add_special_tokens=False).ids
+        else:
+            tokens = [t.id for part in pt.WORD_PATTERN.findall(word) for t in self.tokenizer.model.tokenize(pt.byte_level(part))]
         ids = np.array(tokens, dtype="<u2").tobytes()
         if len(self) >= pt.MOST_WORDS:
             self.clear()
@@ -57,9 +63,12 @@ def word_ids(path: str) -> WordIds:
 
 def encode(text: str, path: str) -> bytes:
     """The library's ids of a text without special tokens, two bytes each."""
-    if not pt.is_known(text, pt.special_strings(path)):
+    if pt.has_special(text.lower(), tuple(s.lower() for s in pt.special_strings(path))):
         ids = pt.load(path).encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u2").tobytes()
+    if not pt.KNOWN.fullmatch(text):  # the library sees words with other characters as they are
+        words = [w.lower() if pt.KNOWN.fullmatch(w) else w for w in re.split("[ \\t\\n\\r]+", text) if w]
+        return b"".join(map(word_ids(path).__getitem__, words))
     return b"".join(map(word_ids(path).__getitem__, text.lower().split()))
 
 

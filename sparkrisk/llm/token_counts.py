@@ -2,11 +2,11 @@
 
 Offline, each string of the vocabulary is put through the merges alone; those that come out as one token are the whole tokens. A
 pre-token among them counts one without any merging. Only the rest are merged, once per distinct pre-token while a worker
-remembers it. Texts with characters outside the known set (see pretokens) and texts that hold a special string are counted by the
-library as a whole.
+remembers it. The library counts texts that hold a special string, and stretches between two spaces with characters on whose kind
+Unicode versions differ (see pretokens).
 
-Nulls and empty texts count 0 tokens and 0 bytes. Repeated rows are counted each; a null id is kept. Columns other than the two
-named are not read. One scan, no shuffle; a worker's memory is bounded by MOST_WORDS remembered pre-tokens.
+Nulls and empty texts count 0 tokens and 0 bytes. Repeated rows are counted each; a null id is kept. An empty table gives an empty
+result. Columns other than the two named are not read. One scan, no shuffle; a worker's memory is bounded by MOST_WORDS remembered pre-tokens.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ class Counts(dict):
         if len(self) - self.least >= pt.MOST_WORDS:
             for key in [*self][self.least :]:
                 del self[key]
-        self[word] = n
+        if len(word) < 1000:
+            self[word] = n
         return n
 
 
@@ -65,14 +66,42 @@ class Chunks(dict):
         return n
 
 
+class Stretches(dict):
+    """Tokens of what stands between two cuts, of any characters."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.path, self.counts = path, chunks_for(path).counts
+
+    def __missing__(self, stretch: str) -> int:
+        if pt.KNOWN.fullmatch(stretch):
+            n = sum(self.counts[m[0]] for m in pt.BYTE_PATTERN.finditer(stretch))
+        elif pt.steady().fullmatch(stretch):
+            n = sum(self.counts[m[0]] for m in pt.GENERAL_PATTERN.finditer(stretch))
+        else:
+            n = len(pt.load(self.path).encode(stretch, add_special_tokens=False).ids)
+        if len(self) >= pt.MOST_WORDS:
+            self.clear()
+        if len(stretch) < 100:
+            self[stretch] = n
+        return n
+
+
+@lru_cache(maxsize=2)
+def stretches_for(path: str) -> Stretches:
+    return Stretches(path)
+
+
 @lru_cache(maxsize=2)
 def chunks_for(path: str) -> Chunks:
     return Chunks(path)
 
 
 def count(text: str, path: str) -> int:
-    if not pt.is_known(text, pt.special_strings(path)):
+    if pt.has_special(text, pt.special_strings(path)):
         return len(pt.load(path).encode(text, add_special_tokens=False).ids)
+    if not pt.KNOWN.fullmatch(text):
+        return sum(map(stretches_for(path).__getitem__, pt.CUT.split(text)))
     chunks = chunks_for(path)
     counts = chunks.counts
     if not pt.UNEVEN.search(text):  # each space begins a pre-token

@@ -47,6 +47,36 @@ def test_token_counts(spark, texts, random_texts):
     assert token_counts.token_counts(frame(spark, []), BYTES).count() == 0
 
 
+OTHER_TEXTS = [
+    "“Smart” quotes – and dashes… cost €5", "Привет, мир! Как дела?", "中文没有空格的句子。第二句，还有3个数字１２", "日本語のテキスト　全角", "नमस्ते दुनिया ١٢٣", "a\u00a0b \u3000 c  \u2003d", "x\u0085 y \x1c z", "naïve café – ŉ ǆ ",
+    "emoji 😀😀 and 👍🏽 flags 🇫🇷", "Σίσυφος ΟΔΟΣ", "e\u0301 \u0301 a", "\u200bzero \ufeffwidth", "ﬁ ① Ⅷ ½ ²", "한국어 텍스트", "שלום עולם", "\ud7ff \ufffd \U0001F9E0 \U00020000", "don’t DON'T’s 'S", "中" * 3000 + " end", "ñ" * 300 + " – " + "q" * 5000,
+]
+
+
+def test_texts_of_other_scripts_like_the_library(random_texts):
+    """Stretches with other characters are counted, and their words encoded, as the library does, by the method where kinds are steady."""
+    byte, word = pt.load(BYTES), pt.load(WORDS)
+    rng = random.Random(11)
+    mixed = [" ".join(rng.choices([*" ".join(OTHER_TEXTS).split(" "), "", "plain", "\n", "words\t"], k=12)) for _ in range(300)]
+    for t in [*OTHER_TEXTS, *mixed, *random_texts]:
+        assert token_counts.count(t, BYTES) == len(byte.encode(t, add_special_tokens=False).ids), t[:80]
+        assert np.frombuffer(packing.encode(t, WORDS), dtype="<u2").tolist() == word.encode(t, add_special_tokens=False).ids, t[:80]
+    by_method = [bool(pt.steady().fullmatch(s)) for t in OTHER_TEXTS[:4] for s in pt.CUT.split(t)]
+    assert np.mean(by_method) > 0.9
+
+
+def test_steady_characters_split_like_the_library():
+    """Every steady character between letters, digits and signs."""
+    library = pt.load(BYTES).pre_tokenizer
+    known = [chr(c) for c in range(0x20, 0x30000) if pt.steady().fullmatch(chr(c))]
+    assert len(known) > 80_000
+    back = {v: k for k, v in pt.byte_letters().items()}
+    for at in range(0, len(known), 500):
+        t = "".join(f"a{c}b 1{c}2 !{c}? {c}{c}" for c in known[at : at + 500])
+        want = [bytes(back[x] for x in piece).decode("utf-8", "replace") for piece, _ in library.pre_tokenize_str(t)]
+        assert pt.GENERAL_PATTERN.findall(t) == want
+
+
 def test_known_characters_split_like_the_library():
     """Every known character, alone and beside others, in both vocabularies."""
     known = [chr(c) for c in range(0x180) if pt.KNOWN.fullmatch(chr(c))]
