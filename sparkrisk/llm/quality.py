@@ -8,7 +8,9 @@ divides the logits, so that scores can be read as probabilities.
 
 The fit reads at most labelled.SAMPLE labelled rows of the folds that may be learned from; every document is scored over its whole
 text. Null texts count as empty, and an empty text has a score too. Without labels of both classes, all scores are their mean (0.5
-without any). The model's size is bounded by VOCABULARY; it is broadcast.
+without any). The model knows at most VOCABULARY words and MOST_SHAPES shapes, of which the first 12 signs count; it is broadcast.
+Repeated rows are scored each; a document with two labels counts with both; an empty table gives an empty result. Other columns are not
+read.
 """
 
 from __future__ import annotations
