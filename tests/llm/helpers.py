@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 
 def distance(a, b):
@@ -55,7 +56,9 @@ def lines_left(rows, least, threshold=lambda n: 1):
                 first.setdefault(line, (d, n))
     order = sorted((x for x in first if len(x) >= least), key=first.get)
     t = lambda x, y: threshold(min(len(x), len(y)))
-    near = {x for k, x in enumerate(order) if any(abs(len(x) - len(y)) <= t(x, y) and distance(x, y) <= t(x, y) for y in order[:k])}
+    letters = {x: Counter(x) for x in order}
+    apart = lambda x, y: max((letters[x] - letters[y]).total(), (letters[y] - letters[x]).total())  # no fewer edits than this
+    near = {x for k, x in enumerate(order) if any(abs(len(x) - len(y)) <= t(x, y) and apart(x, y) <= t(x, y) and distance(x, y) <= t(x, y) for y in order[:k])}
     out = {}
     for d, text in rows:
         kept, seen = [], set()

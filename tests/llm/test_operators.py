@@ -210,21 +210,45 @@ def test_digest_index():
     assert {d.ljust(16, b"\0"): (i, n) for d, i, n in zip(out.digests.tolist(), out.ids.tolist(), out.counts.tolist(), strict=True)} == want
 
 
-def test_topk(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_topk(spark, monkeypatch, broadcast):
+    """By broadcast and by the grid; ties, repeated ids, vectors of other lengths, and values that only whole numbers of any size hold."""
     monkeypatch.setattr(topk_search, "CANDIDATES", 37)
     monkeypatch.setattr(topk_search, "QUERIES", 3)
+    monkeypatch.setattr(topk_search, "BROADCAST", broadcast)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 8)) * rng.choice([0.1, 1, 30], size=(150, 1))
-    rows = [(k, [float(x) for x in v]) for k, v in enumerate(base)] + [(150, None), (151, [1.0, None] * 4), (152, [float("nan")] * 8), (153, [float("inf")] * 8), (154, [0.0] * 8), (160, [0.0] * 8), (161, [1.0] * 8), (161, [1.0] * 8), (180, [1.0, 2.0]), (200, [1.0, 2.0])]
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(base)] + [(150, None), (151, [1.0, None] * 4), (152, [float("nan")] * 8), (153, [float("inf")] * 8), (154, [0.0] * 8), (160, [0.0] * 8), (161, [1.0] * 8), (161, [1.0] * 8), (163, [1.0, 2.0]), (180, [3.0, -1.0]), (180, [-3.0, 1.5]), (164, [1e308] * 8), (165, [3e7, -1.0] * 4), (None, [9.0] * 8)]
     got = {}
-    for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect():
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("mine") for c in ("score", "rank", "q", "block", "row")})
+    for r in topk_search.top_k(docs, k=5).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    good = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
-    for q in (i for i in good if i % 20 == 0):
-        best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
+    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(64 * x) for x in v)]
+    for q in {i for i, _ in good if i % 20 == 0}:
+        mine = [v for i, v in good if i == q]
+        best = sorted((-max(sum(a * b for a, b in zip(x, v, strict=True)) for x in mine if len(x) == len(v)), i) for i, v in good if i != q and len(v) == len(mine[0]))[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert set(got) == {i for i in good if i % 20 == 0}
+    assert set(got) == {i for i, _ in good if i % 20 == 0}
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    assert topk_search.top_k(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_topk_of_huge_components():
+    """Beyond 64 bits the ranking is exact."""
+    vectors = np.array([[2.0**60, 1.0], [2.0**60, 2.0], [-(2.0**60), 0.0]])
+    _, _, ids, scores = next(topk_search.search(vectors, np.array([[2.0**40, 1.0]]), np.array([9]), np.array([1, 2, 3]), 2))
+    assert ids.tolist() == [2, 1] and scores.tolist() == [2**100 + 2, 2**100 + 1]
+
+
+def test_topk_stops_on_proof(spark):
+    """On the given vectors most batches stop before the last step, and postings of a level hold its components."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", topk_search.quantised(F.col("embedding"), 64).alias("q")).collect()
+    ids, vectors = np.array([r["vec_id"] for r in rows]), np.array([r["q"] for r in rows], dtype=np.float64)
+    index = topk_search.ImpactIndex(vectors)
+    assert (sum(index.segment(b, np.float64) for b in range(index.top + 1)).T == vectors).all()
+    queries = ids % 20 == 0
+    possible, steps, of = topk_search.possible_members(index, vectors, vectors[queries], ids[queries][:, None] == ids[None, :], 20, np.float32)
+    assert steps < of and possible.sum() < 8 * 20 * queries.sum() + 1
 
 
 @pytest.mark.parametrize("at_once", [1_000_000, 20])
@@ -452,3 +476,84 @@ def test_toxicity(spark, labelled_rows):
     rows = toxicity.score_documents(frame(spark, [None, "", "idiot clown moron scum"]), model).orderBy("doc_id").collect()
     assert rows[0]["severity"] == rows[1]["severity"] < rows[2]["severity"] and not rows[0]["toxic"]
     assert not toxicity.score_documents(frame(spark, ["x"]), toxicity.fit([])).first()["toxic"]
+
+
+def test_ordinal_likelihood():
+    """Loss against the plain formula, and gradients against differences."""
+    rng = np.random.default_rng(4)
+    z, t, grades = rng.normal(size=40) * 2, np.array([-0.5, 0.3, 1.2]), rng.integers(0, 4, 40)
+    loss = lambda z, t: toxicity.loss_and_gradients(z, t, grades)[0]
+    above = lambda x, k: 1.0 if k < 0 else 0.0 if k > 2 else 1 / (1 + np.exp(-(x - t[k])))
+    assert abs(loss(z, t) + np.mean([np.log(above(x, g - 1) - above(x, g)) for x, g in zip(z, grades, strict=True)])) < 1e-12
+    _, by_z, by_t = toxicity.loss_and_gradients(z, t, grades)
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-6
+        assert abs((loss(z, t + step) - loss(z, t - step)) / 2e-6 - by_t[k]) < 1e-6
+    for k in range(40):
+        step = np.eye(40)[k] * 1e-6
+        assert abs((loss(z + step, t) - loss(z - step, t)) / 2e-6 * 40 - by_z[k]) < 1e-5
+
+
+def test_toxicity_scores_by_hand():
+    model = toxicity.ToxicityModel({"bad": 2.0, "badl*": 1.0, "nice": -1.0}, np.array([1.0, 2.0, 4.0]))
+    for text, z in (("Bad, badly bad", 3.0), ("nice bad", 1.0), ("", 0.0), ("else", 0.0)):
+        assert np.allclose(model.exceeding([text])[0], [1 / (1 + np.exp(-(z - t))) for t in (1.0, 2.0, 4.0)])
+
+
+def test_random_indexing_and_network_by_hand():
+    """Context vectors against loops over all neighbours, pooled inputs and the forward pass against plain sums."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "Delta", "x9", "!!"], k=30)) for _ in range(40)]
+    model = quality.learn_vectors(texts)
+    rows, index = model.rows(), {}
+    for s, r in model.shapes.items():
+        index[r] = quality.index_vector(f"shape {s}")
+    for w, r in model.forms.items():
+        index[r] = quality.index_vector(f"form {w}") + index.get(model.shapes.get(quality.shape(w)), 0)
+    context = np.zeros((len(model.vectors), quality.DIMENSIONS))
+    for text in texts:
+        words = [rows[w] for w in text.split()]
+        for i, w in enumerate(words):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(words):
+                    context[w] += index.get(words[j], 0)
+    for w, r in model.forms.items():
+        shape_row = model.shapes.get(quality.shape(w))
+        if shape_row:
+            context[shape_row] += context[r]
+    context[0] = 0
+    context -= context.sum(axis=0) / max(1.0, np.abs(context).sum()) * np.abs(context).sum(axis=1, keepdims=True)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    own = np.array([unit(context[r]) + 0.5 * unit(np.asarray(index.get(r, np.zeros(quality.DIMENSIONS)), dtype=np.float64)) for r in range(len(context))])
+    want = own.copy()
+    for w, r in model.forms.items():
+        want[r] += own[model.shapes[quality.shape(w)]]
+    want[0] = 0
+    assert np.allclose(model.vectors, want, atol=1e-4)
+    text = "alpha beta beta unknownword\n!! x9"
+    pooled = model.inputs([text])[0]
+    assert np.allclose(pooled[: quality.DIMENSIONS], np.mean([model.vectors[rows[w]] for w in text.split()], axis=0), atol=1e-5)
+    assert np.allclose(pooled[quality.DIMENSIONS :], [np.log1p(6), 5 / 6, np.log1p(5), 1.0])
+    d, h = len(pooled), 3
+    gen = np.random.default_rng(1)
+    model.network, model.mean, model.spread, model.temperature = [gen.normal(size=(d, h)), gen.normal(size=h), gen.normal(size=h), np.float64(0.2)], np.zeros(d), np.ones(d), 2.0
+    w1, b1, w2, b2 = model.network
+    hidden = [np.tanh(sum(pooled[i] * w1[i, j] for i in range(d)) + b1[j]) for j in range(h)]
+    assert np.isclose(model.scores([text])[0], 1 / (1 + np.exp(-(sum(a * b for a, b in zip(hidden, w2, strict=True)) + b2) / 2.0)))
+
+
+def test_network_learns_what_no_line_parts():
+    gen = np.random.default_rng(5)
+    x = gen.normal(size=(6000, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    w1, b1, w2, b2 = quality.train(x, y, np.random.default_rng(0))
+    p = quality.sigmoid(np.tanh(x @ w1 + b1) @ w2 + b2)
+    assert ((p > 0.5) == (y > 0.5)).mean() > 0.9
+
+
+def test_classifiers_of_nothing_and_repeats(spark):
+    docs, labels = frame(spark, ["a b", "a b", None], ids=[1, 1, 2]).withColumn("score", F.lit("mine")), spark.createDataFrame([(1, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        assert module.score_documents(docs, module.model_for(docs, labels)).count() == 3
+        empty = frame(spark, [])
+        assert module.score_documents(empty, module.model_for(empty, labels.limit(0))).count() == 0

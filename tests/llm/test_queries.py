@@ -1,10 +1,14 @@
 """Queries over whole small tables: against SQL, and against brute force where SQL cannot say it; the pipeline stage by stage."""
 
+import hashlib
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sparkrisk.llm import pretokens as pt
 from sparkrisk.llm import labelled, line_dedup, ngram_join, quality, queries, toxicity
 from sparkrisk.llm.common import table
 
@@ -27,6 +31,54 @@ def test_classes(spark, documents):
     assert got == helpers.classes(documents)
 
 
+def test_lines_left(spark, documents):
+    """The registered query against all pairs of lines, as digests."""
+    left = helpers.lines_left(documents, line_dedup.LEAST_CHARS, lambda n: max(1, n // line_dedup.CHARS_PER_EDIT))
+    got = {r["doc_id"]: r for r in queries.op6_line_dedup(spark, SMALL).collect()}
+    assert {d: r["left_sha256"] for d, r in got.items()} == {d: hashlib.sha256(left[d].encode()).hexdigest() for d, _ in documents}
+    assert all(got[d]["n_lines"] == t.count("\n") + 1 and (got[d]["n_dropped"] == t.count("\n") - left[d].count("\n") or not left[d]) for d, t in documents)
+
+
+def test_token_counts_of_the_library(spark, documents):
+    library = pt.load(queries.tokenizer_path("byte_bpe_50k.json"))
+    want = {d: (len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for d, t in documents}
+    assert {r["doc_id"]: tuple(r)[1:] for r in queries.op4_token_counts(spark, SMALL).collect()} == want
+
+
+def test_packed_ids_of_the_library(spark, documents):
+    library = pt.load(queries.tokenizer_path("word_bpe_49k.json"))
+    ids = {d: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for d, t in documents}
+    rows = queries.op7_packing(spark, SMALL).collect()
+    assert all(zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]]) for r in rows)
+    assert sum(r["length"] for r in rows) == sum(map(len, ids.values()))
+    fill = {}
+    for r in rows:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert all(n == 2048 or n & (n - 1) == 0 for n in fill.values())
+
+
+def test_pieces_of_the_library(spark, documents):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+    want = {}
+    for d, t in documents:
+        ids = sp.encode(t or "", add_bos=True, add_eos=True)
+        want[d] = (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+    assert {r["doc_id"]: tuple(r)[1:] for r in queries.op10_piece_round_trips(spark, SMALL).collect()} == want
+
+
+def test_pipeline_of_null_and_empty_documents(spark, tmp_path):
+    """Tables with nulls, empties, repeats and clashing names, and without rows."""
+    docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "x", "en", "s", 1), (3, "and the same line\nand", "en", "s", 3), (3, "and the same line\nand", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, some in (("some", docs.withColumns({c: F.lit("mine") for c in ("n_lines", "_of", "_lines", "_gone", "_number")})), ("none", docs.limit(0))):
+        some.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert sorted((r["doc_id"] or 0) for r in rows) == ([0, 1, 2, 3] if name == "some" else [])
+
+
 def test_names():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
 
@@ -59,34 +111,5 @@ def test_pipeline(spark, documents):
 
 
 def helpers_lines(kept):
-    """Near lines share one half, so only lines that do are compared."""
-    least = line_dedup.LEAST_CHARS
-    first, near, halves = {}, set(), {}
-    for d, t in sorted(kept):
-        for n, line in enumerate(t.split("\n")):
-            if len(line) >= least:
-                first.setdefault(line, (d, n))
-    for line in sorted(first, key=first.get):
-        size = len(line)
-        probes = [(size, 0, line[: size // 2]), (size, 1, line[size // 2 :])]
-        probes += [(size - 1, 0, line[: (size - 1) // 2]), (size - 1, 1, line[(size - 1) // 2 + 1 :])]
-        probes += [(size + 1, 2, line[: (size + 1) // 2]), (size + 1, 3, line[(size + 1) // 2 - 1 :])]
-        if any(helpers.distance(line, other) <= 1 for p in probes for other in halves.get(p, ())):
-            near.add(line)
-        for p in probes[:2]:
-            halves.setdefault(p, []).append(line)
-        for p in ((size, 2, line[: size // 2]), (size, 3, line[size // 2 :])):
-            halves.setdefault(p, []).append(line)
-    out = {}
-    for d, t in kept:
-        lines, seen = [], set()
-        for line in t.split("\n"):
-            if len(line) >= least:
-                if line in near or first[line][0] != d or line in seen:
-                    continue
-                seen.add(line)
-            lines.append(line)
-        text = "\n".join(lines)
-        if text.strip() or not t.strip():
-            out[d] = text
-    return out
+    left = helpers.lines_left(kept, line_dedup.LEAST_CHARS, lambda n: max(1, n // line_dedup.CHARS_PER_EDIT))
+    return {d: left[d] for d, t in kept if left[d].strip() or not t.strip()}
