@@ -100,7 +100,7 @@ def chosen_features(docs: np.ndarray, ids: np.ndarray, toxic: np.ndarray, n_feat
     """Features with the surest difference between the classes' document shares. The presences are given by (doc, feature id)."""
     n, share = len(toxic), toxic.mean()
     seen = np.bincount(ids, minlength=n_features).astype(np.float64)
-    seen_toxic = np.bincount(ids, weights=toxic[docs], minlength=n_features)
+    seen_toxic = np.bincount(ids[toxic[docs] == 1], minlength=n_features).astype(np.float64)
     z = np.abs(seen_toxic - seen * share) / np.sqrt(seen * share * (1 - share) * (1 - seen / n) + 1e-9)
     z[seen < LEAST_DOCUMENTS] = 0
     best = np.lexsort((np.arange(n_features), -z))[:FEATURES]
@@ -155,12 +155,13 @@ def fit(rows: Iterable[tuple[str, int]]) -> ToxicityModel:
     names: dict[str, int] = {}
     docs, labels = [], []
     for words, label in without_copies(rows):
-        docs.append(np.unique([names.setdefault(f, len(names)) for w in words for f in features(w)]).astype(np.int64))
+        docs.append(np.unique([names.setdefault(f, len(names)) for w in words for f in features(w)]).astype(np.int32))
         labels.append(label)
     toxic = (np.array(labels, dtype=np.int64) > 0).astype(np.int64)
     if len(set(toxic.tolist())) < 2 or not names:
         return ToxicityModel()
-    doc, ids = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
+    doc, ids = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs]), np.concatenate(docs)
+    docs.clear()
     chosen = chosen_features(doc, ids, toxic, len(names))
     place_of = np.full(len(names), -1)
     place_of[chosen] = np.arange(len(chosen))
