@@ -1,4 +1,4 @@
-"""Windows, thresholds and caps. All durations are milliseconds, as event times are compared as epoch milliseconds."""
+"""Windows, thresholds, caps and grids: fixed values. All durations are milliseconds, as event times are compared as epoch milliseconds."""
 
 from __future__ import annotations
 

@@ -22,6 +22,7 @@ FEATURES = HOT_FEATURES + WARM_FEATURES
 NUMERIC_FEATURES = [f for f in FEATURES if f != "merchant_category"]
 # Category levels in the order of their codes.
 CATEGORIES = ["grocery", "fuel", "restaurants", "pharmacy", "utilities", "ecommerce", "electronics", "travel", "digital_goods", "gift_cards_wallet"]
+# Columns that no model may read.
 FORBIDDEN = {"txn_id", "account_id", "merchant_id", "device_id", "ip", "attack_id", "ring_id"}
 LABEL_COLUMNS = {"is_fraud", "fraud_type", "attack_id", "ring_id", "label_available_at"}
 CHANNELS, STATUSES, DECISIONS = ["POS", "ONLINE"], ["APPROVED", "DECLINED"], ["ALLOW", "REVIEW", "HOLD"]

@@ -75,7 +75,8 @@ def scored_schema() -> T.StructType:
 def scored_view(spark: SparkSession, root: str, name: str = "scored") -> DataFrame:
     """The scored rows without redelivered copies, as a view; an empty one until there are files. Schemas that have grown are merged."""
     if exists(spark, root):
-        frame = earliest_copy(spark.read.option("mergeSchema", True).parquet(root), order=("scored_ts",))
+        rows = spark.read.option("mergeSchema", True).parquet(root)
+        frame = earliest_copy(rows, order=("scored_ts", *[c for c in ("stream_id", "consumer") if c in rows.columns]))
     else:
         frame = spark.createDataFrame([], scored_schema())
     frame.createOrReplaceTempView(name)
@@ -103,8 +104,12 @@ def snapshot_path(root: str, snapshot_ms: int) -> str:
 
 
 def publish_snapshot(features: DataFrame, calendar_row: DataFrame, root: str, calendar_path: str) -> None:
-    """The snapshot's rows first, its row in the calendar last: readers go by the calendar and never see half a snapshot."""
-    write(features, root, ["snapshot_ms"], mode="append")
+    """The snapshot's rows first, its row in the calendar last: readers go by the calendar and never see half a snapshot. Published
+    again, as after a crash, a snapshot replaces its own rows and keeps its row in the calendar."""
+    features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("snapshot_ms").parquet(root)
+    if exists(calendar_row.sparkSession, calendar_path):
+        listed = calendar_row.sparkSession.read.parquet(calendar_path).select("snapshot_ms")
+        calendar_row = calendar_row.join(listed, "snapshot_ms", "left_anti")
     write(calendar_row, calendar_path, mode="append")
 
 

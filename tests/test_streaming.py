@@ -85,3 +85,30 @@ def test_once_and_foreign_state(spark, tmp_path):
     spark.createDataFrame([("fs0",)], "spec string").write.parquet(f"{job.root}/spec")
     with pytest.raises(ValueError):
         job.check_version(spark)
+
+
+def test_refresh_publishes_what_is_due_and_survives_a_crash(spark, tmp_path):
+    from sparkrisk.config import DAY
+    from sparkrisk.sources import tables
+    from sparkrisk.streaming.refresh import LiveRefresh
+
+    root, calendar = str(tmp_path / "snapshots"), str(tmp_path / "calendar")
+    built, watermark = [], [None]
+
+    def build(at):
+        built.append(at)
+        rows = spark.createDataFrame([(at, "A", float(len(built))), (at, "B", 0.0)], "snapshot_ms long, account_id string, graph_degree double")
+        return rows, rows.groupBy("snapshot_ms").count().withColumnRenamed("count", "n_nodes")
+
+    refresh = LiveRefresh(spark, root, calendar, lambda: watermark[0], build, start_ms=10 * DAY)
+    assert refresh.catch_up() == []
+    watermark[0] = 12 * DAY + 5
+    assert refresh.catch_up() == [11 * DAY, 12 * DAY] and refresh.step() is None
+    # a crash after the rows and before the calendar: the rows are there already, and are replaced
+    rows, row = build(13 * DAY)
+    tables.write(rows, root, ["snapshot_ms"], mode="append")
+    watermark[0] = 13 * DAY
+    assert refresh.step() == 13 * DAY
+    tables.publish_snapshot(*build(13 * DAY), root, calendar)
+    frame, times = tables.read_snapshots(spark, root, calendar)
+    assert times == [11 * DAY, 12 * DAY, 13 * DAY] and frame.count() == 6 and spark.read.parquet(calendar).count() == 3
