@@ -50,7 +50,7 @@ from .digest_index import HIT_BITS, Filter, hit_filter, passing
 LEAST_CHARS = 20
 SEGMENTS = (2, 16)  # then one per character
 MOST_IN_RUN = 64
-LETTERS_AT_ONCE = 1 << 20
+LETTERS_AT_ONCE = 1 << 17
 MOST_SEEN = 400_000
 #: Characters per edit of the queries: a line of 250 characters may differ in 8, a word or two.
 CHARS_PER_EDIT = 30
@@ -65,7 +65,7 @@ def line_id(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode())
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=4)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     up, down = np.full(n, BASE, dtype=np.uint64), np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64)
@@ -361,15 +361,17 @@ def gram_size(per: int) -> int:
 
 def disjoint(places: np.ndarray, begin: np.ndarray, end: np.ndarray, need: np.ndarray, q: int) -> np.ndarray:
     """How many grams of q characters that share none a line has, up to `need`; places are sorted, a line has those in [begin, end)."""
-    count, at = np.zeros(len(begin), dtype=np.int64), np.searchsorted(places, begin)
-    live = np.flatnonzero((at < len(places)) & (places[np.minimum(at, len(places) - 1)] < end)) if len(places) else np.empty(0, dtype=np.int64)
-    at = at[live]
+    count, at, stop = np.zeros(len(begin), dtype=np.int64), np.searchsorted(places, begin), np.searchsorted(places, end)
+    after = np.searchsorted(places, places + q)  # the next gram that shares no character with this one
+    live = np.flatnonzero(at < stop)
+    at, stop, steps = at[live], stop[live], 0
     while len(live):
-        count[live] += 1
-        at = np.searchsorted(places, places[at] + q)
-        more = (count[live] < need[live]) & (at < len(places))
-        more[more] = places[at[more]] < end[live[more]]
-        live, at = live[more], at[more]
+        steps += 1
+        at = after[at]
+        done = (at >= stop) | (need[live] <= steps)
+        if done.any():
+            count[live[done]] = steps
+            live, at, stop = live[~done], at[~done], stop[~done]
     return count
 
 
@@ -569,7 +571,7 @@ def meetings(segments_of: DataFrame, per: int) -> DataFrame:
         size = 0
         for batch in slices(batches):
             for row in zip(*columns_of(batch), strict=True):
-                if size >= SEGMENTS_AT_ONCE // 4 and row[0] != held[-1][0]:  # several buckets at once, and each one whole
+                if held and size >= SEGMENTS_AT_ONCE // 16 and row[0] != held[-1][0]:  # several buckets at once, and each one whole
                     yield pairs_of(held)
                     held, size = [], 0
                 held.append(row)
@@ -624,21 +626,27 @@ def verified(pairs: DataFrame, facts: DataFrame, pool: DataFrame, per: int) -> D
                 gap = far(counts_of(batch.column(2).to_pylist()), counts_of(batch.column(5).to_pylist()))
                 ok = (gap <= edits(size, per)) & (np.abs(batch.column(1).to_numpy() - batch.column(4).to_numpy()) <= edits(size, per))
                 some = batch.filter(pa.array(ok))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(3)], names=["line", "other"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(3), pa.array(gap[ok], type=pa.int32())], names=["line", "other", "gap"])
 
-    left = flat.mapInArrow(near, "line binary, other binary").distinct()
+    left = flat.mapInArrow(near, "line binary, other binary, gap int").distinct()
     texts = pool.select("line", "text")
-    both = left.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("text").alias("other_text")), "other")
+    # merged by the later line, so that its pairs lie together and end with the first one that is near
+    both = left.join(texts.select(F.col("line").alias("other"), F.col("text").alias("other_text")), "other").join(texts.hint("merge"), "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in slices(batches):
-            out: set[bytes] = set()
-            for line, a, b in zip(*columns_of(batch), strict=True):
-                if line not in out and within(a, b, int(edits(min(len(a), len(b)), per))):
-                    out.add(line)
+            lines, out = batch.column(0).to_pylist(), set()
+            for k in np.argsort(batch.column(1).to_numpy(), kind="stable").tolist():
+                if lines[k] not in out and lines[k] != last:
+                    a, b = batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
+                    if within(a, b, int(edits(min(len(a), len(b)), per))):
+                        out.add(lines[k])
+            if lines:
+                last = lines[-1] if lines[-1] in out or lines[-1] == last else None
             yield pa.RecordBatch.from_arrays([pa.array([*out], type=pa.binary())], names=["line"])
 
-    return both.select("line", "text", "other_text").mapInArrow(run, "line binary").distinct()
+    return both.select("line", "gap", "text", "other_text").mapInArrow(run, "line binary").distinct()
 
 
 def late_in_cells(edges: DataFrame, facts: DataFrame, pool: DataFrame, per: int) -> DataFrame:
