@@ -20,8 +20,8 @@ MOST_EDGES = 2_000_000
 
 
 def calendar(spark, first_ms: int, last_ms: int, cfg: GraphConfig = GRAPH) -> DataFrame:
-    """snapshot_ms from first to last, both included."""
-    return spark.range(1).select(F.explode(F.sequence(F.lit(first_ms), F.lit(last_ms), F.lit(cfg.cadence))).alias("snapshot_ms"))
+    """snapshot_ms from first to last, both included; none if the last is before the first."""
+    return spark.range(first_ms, last_ms + 1, cfg.cadence, 1).toDF("snapshot_ms")
 
 
 def in_lookback(events: DataFrame, snapshots: DataFrame, cfg: GraphConfig = GRAPH) -> DataFrame:

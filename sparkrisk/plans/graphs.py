@@ -15,9 +15,9 @@ from .registry import query
 
 #: One key reaches most accounts within a month here, so the lookback is a day.
 CFG = replace(GRAPH, lookback=DAY)
-#: Snapshots of the queries that have SQL, whose calendar stands in the SQL.
-FIRST, LAST = 1_704_153_600_000, 1_704_672_000_000
-CAL = f"cal AS (SELECT unnest(range({FIRST}, {LAST + 1}, {DAY})) AS snapshot_ms)"
+#: A snapshot at the end of each day that has begun after the first event's day, up to the last event: all of the table's days but a last broken one.
+CAL = f"""span AS (SELECT (MIN(ms) // {DAY} + 1) * {DAY} AS low, MAX(ms) // {DAY} * {DAY} AS high FROM e),
+cal AS (SELECT unnest(range(low, greatest(low, high) + 1, {DAY})) AS snapshot_ms FROM span)"""
 MEMBERS = f"""{CAL}, placed AS (SELECT snapshot_ms, account_id, device_id, ip FROM e, cal WHERE ms < snapshot_ms AND ms >= snapshot_ms - {DAY}),
 uses AS (SELECT DISTINCT snapshot_ms, 'device_id' AS kind, CAST(device_id AS VARCHAR) AS entity, account_id, 16 AS cap FROM placed UNION ALL SELECT DISTINCT snapshot_ms, 'ip', CAST(ip AS VARCHAR), account_id, 18 FROM placed),
 members AS (SELECT snapshot_ms, kind, entity, account_id FROM uses JOIN (SELECT snapshot_ms, kind, entity, cap FROM uses GROUP BY ALL HAVING COUNT(*) BETWEEN 2 AND MIN(cap)) AS fit USING (snapshot_ms, kind, entity))"""
@@ -26,29 +26,38 @@ sym AS (SELECT snapshot_ms, u, v, weight FROM links UNION ALL SELECT snapshot_ms
 
 
 def whole_span(spark, sf_dir):
-    """First and last snapshot of the table: the days' ends after its first event, up to its last one."""
+    """First and last snapshot of the table: the days' ends after its first event, up to its last one. Without events there is none."""
     low, high = D.events(spark, sf_dir).agg(F.min("ms"), F.max("ms")).first()
     if low is None:
-        return FIRST, FIRST
+        return DAY, 0
     first = (low // DAY + 1) * DAY
     return first, max(first, high // DAY * DAY)
 
 
-def members(spark, sf_dir):
-    return members_of(spark, sf_dir, FIRST, LAST)
+def snapshots(spark, sf_dir):
+    return G.calendar(spark, *whole_span(spark, sf_dir), CFG)
+
 
+def days_of(spark, sf_dir):
+    first, last = whole_span(spark, sf_dir)
+    return list(range(first, last + 1, DAY))
 
-def members_of(spark, sf_dir, first, last):
-    return G.memberships(G.in_lookback(D.events(spark, sf_dir), G.calendar(spark, first, last, CFG), CFG), CFG)
+
+def placed(spark, sf_dir):
+    return G.in_lookback(D.events(spark, sf_dir), snapshots(spark, sf_dir), CFG)
+
+
+def members(spark, sf_dir):
+    return G.memberships(placed(spark, sf_dir), CFG)
 
 
 def links(spark, sf_dir):
     return G.edges(members(spark, sf_dir))
 
 
-@query(f"WITH {CAL} SELECT * FROM cal")
+@query(D.with_ctes("SELECT * FROM cal", CAL))
 def snapshot_calendar(spark, sf_dir):
-    return G.calendar(spark, FIRST, LAST, CFG)
+    return snapshots(spark, sf_dir)
 
 
 @query(D.with_ctes("SELECT * FROM members", MEMBERS))
@@ -58,7 +67,7 @@ def entity_memberships(spark, sf_dir):
 
 @query(D.with_ctes("SELECT snapshot_ms, entity, COUNT(*) AS accounts FROM members WHERE kind = 'device_id' GROUP BY ALL", MEMBERS))
 def capped_devices(spark, sf_dir):
-    return G.capped_entities(G.in_lookback(D.events(spark, sf_dir), G.calendar(spark, FIRST, LAST, CFG), CFG), "device_id", CFG)
+    return G.capped_entities(placed(spark, sf_dir), "device_id", CFG)
 
 
 @query(D.with_ctes("SELECT * FROM links", EDGES))
@@ -99,26 +108,22 @@ def community_facts(spark, sf_dir):
     return out.select("snapshot_ms", "account_id", "community_size", "community_shared_devices", F.round("community_young_share", 8).alias("community_young_share"))
 
 
-@query(D.with_ctes("SELECT DISTINCT snapshot_ms, account_id FROM cal JOIN lab ON label_ms - 1209600000 < snapshot_ms AND is_fraud = 1 JOIN e USING (txn_id)", CAL))
+@query(D.with_ctes("SELECT DISTINCT snapshot_ms, account_id FROM cal JOIN lab ON label_ms < snapshot_ms AND is_fraud = 1 JOIN e USING (txn_id)", CAL))
 def snapshot_seeds(spark, sf_dir):
-    """Fraud that would be known at each snapshot if labels came at once."""
-    early = D.labels(spark, sf_dir).withColumn("label_ms", F.col("label_ms") - CFG.label_delay)
-    return G.seed_accounts(early, D.events(spark, sf_dir), G.calendar(spark, FIRST, LAST, CFG))
+    """Fraud that is known at each snapshot; labels come 14 days after the event."""
+    return G.seed_accounts(D.labels(spark, sf_dir), D.events(spark, sf_dir), snapshots(spark, sf_dir))
 
 
 @query()
 def personalised_pagerank(spark, sf_dir):
-    first, last = whole_span(spark, sf_dir)
-    seeds = G.seed_accounts(D.labels(spark, sf_dir), D.events(spark, sf_dir), G.calendar(spark, first, last, CFG))
-    found = G.personalised_pagerank(kept(G.edges(members_of(spark, sf_dir, first, last))), seeds, CFG)
+    found = G.personalised_pagerank(kept(links(spark, sf_dir)), snapshot_seeds(spark, sf_dir), CFG)
     return found.withColumn("ppr_risk", F.round("ppr_risk", 6))
 
 
 @query()
 def graph_snapshots(spark, sf_dir):
     """All six features of all accounts in each snapshot, communities by local moves on modularity."""
-    cal = G.calendar(spark, *whole_span(spark, sf_dir), CFG)
-    return G.snapshot_features(D.events(spark, sf_dir), D.labels(spark, sf_dir), D.accounts(spark, sf_dir), cal, CFG)
+    return G.snapshot_features(D.events(spark, sf_dir), D.labels(spark, sf_dir), D.accounts(spark, sf_dir), snapshots(spark, sf_dir), CFG)
 
 
 SNAPS = f"{EDGES}, snaps AS (SELECT snapshot_ms, u AS account_id, CAST(SUM(weight) AS DOUBLE) AS graph_degree FROM sym GROUP BY ALL)"
@@ -128,8 +133,7 @@ SNAPS = f"{EDGES}, snaps AS (SELECT snapshot_ms, u AS account_id, CAST(SUM(weigh
 def point_in_time_join(spark, sf_dir):
     """Each event with the features of the last snapshot at or before it, and defaults where the account is not in that one."""
     snaps = G.degrees(links(spark, sf_dir)).withColumns({n: F.lit(7.0) for n, _ in CFG.defaults if n != "graph_degree"})
-    days = list(range(FIRST, LAST + 1, DAY))
-    return joins.attach_snapshots(D.events(spark, sf_dir), snaps, days, CFG).select("txn_id", "graph_snapshot_ms", "graph_degree", "community_size").fillna(-1)
+    return joins.attach_snapshots(D.events(spark, sf_dir), snaps, days_of(spark, sf_dir), CFG).select("txn_id", "graph_snapshot_ms", "graph_degree", "community_size").fillna(-1)
 
 
 @query()
@@ -137,7 +141,5 @@ def training_table(spark, sf_dir):
     """Features, graph features and labels of every event."""
     from .features import hot
 
-    first, last = whole_span(spark, sf_dir)
-    days = list(range(first, last + 1, DAY))
     snaps = kept(graph_snapshots(spark, sf_dir))
-    return joins.training_table(hot(spark, sf_dir), snaps, days, D.labels(spark, sf_dir), CFG)
+    return joins.training_table(hot(spark, sf_dir), snaps, days_of(spark, sf_dir), D.labels(spark, sf_dir), CFG)
