@@ -660,7 +660,9 @@ def late_in_cells(edges: DataFrame, facts: DataFrame, pool: DataFrame, per: int)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("group", "class", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("r"), "doc_id", "line_no", "line", (F.col("own") == F.col("class")).alias("own"), "part")
     cell, order = ["group", "class", "p", "r"], ["doc_id", "line_no", "line"]
-    rows = dealt.join(pool.select("line", "text"), "line").select(*cell, *order, "own", "part", "text").repartition(*[F.col(c) for c in cell]).sortWithinPartitions(*cell, *order)
+    # a stated number of partitions is not merged by size: cells are small in bytes, but not in work
+    tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.join(pool.select("line", "text"), "line").select(*cell, *order, "own", "part", "text").repartition(tasks, *cell).sortWithinPartitions(*cell, *order)
 
     def late_of(rows: list[tuple]) -> list[bytes]:
         lines, own, part, texts = zip(*(r[6:] for r in rows), strict=True)
