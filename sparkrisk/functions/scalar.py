@@ -122,6 +122,15 @@ def heartbeat(age_seconds) -> Column:
     return F.when(x.isNull(), "unknown").when(x < 10, "live").when(x < 60, "late").otherwise("down")
 
 
+def rounded(x, places: int) -> Column:
+    """A double rounded as in binary arithmetic: x * 10^places to the nearest whole number, halves away from zero, over 10^places. Spark's
+    round goes by the shortest decimal that names x, which parts from this where x is next to a half."""
+    scaled, power = col(x) * float(10**places), float(10**places)
+    whole = F.floor(F.abs(scaled))
+    nearest = F.signum(scaled) * (whole + F.when(F.abs(scaled) - whole >= 0.5, 1).otherwise(0))
+    return F.when(F.abs(scaled) < float(1 << 52), nearest).otherwise(scaled) / power  # from 2^52 on all doubles are whole
+
+
 def ratio(a, b) -> Column:
     """a / b, or 0 where b is 0 or null."""
     return F.coalesce(col(a) / F.nullif(col(b).cast("double"), F.lit(0.0)), F.lit(0.0))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import DAY, HOUR
+from ..functions import scalar as S
 from ..operators import aggregates as A
 from ..operators import joins, metrics, predicates, sets, windows
 from ..sources import driver as D
 from .registry import query
 
-RISK = "round(0.5 * (amount / (amount + 60.0)) + 0.5 * (((txn_id * 7919) % 1000) / 1000.0), 6)"
+EXACT_RISK = "0.5 * (amount / (amount + 60.0)) + 0.5 * (((txn_id * 7919) % 1000) / 1000.0)"
+RISK = f"round({EXACT_RISK}, 6)"
 DECISION = "CASE WHEN risk >= 0.85 THEN 'HOLD' WHEN risk >= 0.7 THEN 'REVIEW' ELSE 'ALLOW' END"
 SCORED = f"scored AS (SELECT *, {DECISION} AS decision FROM (SELECT *, {RISK} AS risk, ms + (txn_id * 31) % 250 AS scored_ts, (txn_id * 31) % 250 AS latency_ms FROM e) AS s)"
 LABELLED = f"{SCORED}, labelled AS (SELECT * FROM scored JOIN lab USING (txn_id))"
@@ -19,7 +21,7 @@ RAW = f"{SCORED}, raw AS (SELECT *, 0 AS copy FROM scored UNION ALL SELECT * REP
 
 
 def scored(spark, sf_dir):
-    e = D.events(spark, sf_dir).withColumns({"risk": F.expr(RISK), "latency_ms": F.expr("(txn_id * 31) % 250")})
+    e = D.events(spark, sf_dir).withColumns({"risk": S.rounded(F.expr(EXACT_RISK), 6), "latency_ms": F.expr("(txn_id * 31) % 250")})
     return e.withColumns({"scored_ts": F.col("ms") + F.col("latency_ms"), "decision": predicates.decide("risk", 0.7, 0.85)})
 
 
@@ -33,7 +35,8 @@ def raw(spark, sf_dir):
 
 
 def rounded(frame, places, *columns):
-    return frame.withColumns({c: F.round(c, places) for c in columns})
+    kinds = dict(frame.dtypes)
+    return frame.withColumns({c: S.rounded(c, places) if kinds[c] == "double" else F.round(c, places) for c in columns})
 
 
 @query(D.with_ctes("SELECT txn_id, scored_ts, copy FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY scored_ts, copy) AS n FROM raw) AS x WHERE n = 1", RAW))
