@@ -85,11 +85,13 @@ def known_fraud(labels: DataFrame, at_ms) -> DataFrame:
 
 
 def order_violations(frame: DataFrame, *order: str) -> DataFrame:
-    """One row: how many rows come before their predecessor by `position` in the order. Inside ranges of positions rows are compared
-    with their predecessors, and each range's last row with the next one's first."""
+    """One row: how many rows come before their predecessor by `position` in the order. Rows of one position follow each other in the
+    order, so that the number is the same at each run. Inside ranges of positions rows are compared with their predecessors, and each
+    range's last row with the next one's first."""
     ranged = frame.select("position", F.struct(*order).alias("k"), range_of(frame, "position").alias("part"))
-    inside = ranged.withColumn("before", F.lag("k").over(Window.partitionBy("part").orderBy("position"))).select((F.col("k") < F.col("before")).alias("bad"))
-    edges = ranged.groupBy("part").agg(F.min_by("k", "position").alias("first"), F.max_by("k", "position").alias("last"))
+    inside = ranged.withColumn("before", F.lag("k").over(Window.partitionBy("part").orderBy("position", "k"))).select((F.col("k") < F.col("before")).alias("bad"))
+    place = F.struct("position", "k")
+    edges = ranged.groupBy("part").agg(F.min(place)["k"].alias("first"), F.max(place)["k"].alias("last"))
     across = edges.withColumn("before", F.lag("last").over(Window.orderBy("part"))).select((F.col("first") < F.col("before")).alias("bad"))
     return inside.union(across).agg(F.count(F.when(F.col("bad"), 1)).alias("violations"))
 

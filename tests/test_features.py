@@ -106,3 +106,15 @@ def test_haversine(spark):
 
     got = spark.range(1).select(haversine_km(F.lit(19.076), F.lit(72.8777), F.lit(28.6139), F.lit(77.209))).first()[0]
     assert abs(got - 1150) < 15
+
+
+def test_order_violations_at_one_position(spark):
+    """Rows of one position count as lying in order, however the table is dealt; those across positions are compared as ever."""
+    from sparkrisk.operators import predicates
+
+    rows = [(p, (7 * k + 3 * p) % 10, k) for p in range(40) for k in range(10)]
+    lined = [r[1:] for r in sorted(rows)]
+    expected = sum(b < a for a, b in zip(lined, lined[1:]))
+    for parts in (1, 3, 7):
+        frame = spark.createDataFrame(rows[::-1], "position long, ms long, txn_id long").repartition(parts)
+        assert predicates.order_violations(frame, "ms", "txn_id").first()[0] == expected == 39
