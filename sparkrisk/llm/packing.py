@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens as pt
-from .common import columns_of, slices
+from .common import columns_of, remembered, slices, tidied
 
 #: Ids that a task holds at once (two bytes each); several thousand documents, so that best fit finds partners.
 BLOCK_IDS = 8_000_000
@@ -56,7 +55,7 @@ class WordIds(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
+@remembered(2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
@@ -211,4 +210,4 @@ def pack_documents(documents: DataFrame, path: str, window: int = 2048, closing_
         if ids:
             yield from flush()
 
-    return texts.mapInArrow(run, SCHEMA)
+    return texts.mapInArrow(tidied(run), SCHEMA)

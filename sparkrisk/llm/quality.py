@@ -227,7 +227,7 @@ def keep_where(documents: DataFrame, model, decide, text_col: str) -> DataFrame:
     """The rows for whose texts decide(model, texts) is true."""
     import pyarrow as pa
 
-    from .common import slices
+    from .common import slices, tidied
 
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_col)
@@ -237,7 +237,7 @@ def keep_where(documents: DataFrame, model, decide, text_col: str) -> DataFrame:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(np.asarray(decide(sent.value, texts), dtype=bool)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidied(run, decide.__module__), documents.schema)
 
 
 def model_for(documents: DataFrame, labels: DataFrame, most: int = labelled.SAMPLE) -> QualityModel:

@@ -1,5 +1,6 @@
 """Operators against brute force, and nulls, empty and very long texts, ties, repeated rows, empty tables and further columns."""
 
+import os
 import random
 import zlib
 
@@ -557,3 +558,29 @@ def test_classifiers_of_nothing_and_repeats(spark):
         assert module.score_documents(docs, module.model_for(docs, labels)).count() == 3
         empty = frame(spark, [])
         assert module.score_documents(empty, module.model_for(empty, labels.limit(0))).count() == 0
+
+
+def test_tables_on_the_way_go(spark):
+    """Of the tables that an operator cuts its plan with, those stay whose rows its result reads, and no others."""
+    from sparkrisk.llm import common
+
+    docs = [f"the same words stand in this line {k % 7}\n" + " ".join(f"w{k % 20}x{j}" for j in range(40)) for k in range(60)]
+    before = len(common.CUTS.paths)
+    classes = ngram_join.similarity_classes(frame(spark, docs))
+    left = line_dedup.without_repeated_lines(frame(spark, docs), per=30)
+    held = common.CUTS.paths[before:]
+    assert len(held) <= 4  # the described documents, ids of several, classes, and the lines to drop
+    assert all(os.path.isdir(p.removeprefix("file:")) for p in held)
+    assert classes.count() == left.count() == 60
+
+
+def test_a_worker_forgets_other_operators_words():
+    from sparkrisk.llm import common
+
+    ran = lambda owner: [*common.tidied(lambda batches: iter([ngram_join.word_hashes()[x] for x in batches]), owner)([b"a", b"b"])]
+    ran("one")
+    assert len(ngram_join.word_hashes()) == 2  # they stay between tasks of one operator
+    common.begin_task("one")
+    assert len(ngram_join.word_hashes()) == 2
+    common.begin_task("another")
+    assert len(ngram_join.word_hashes()) == 0
