@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrisk.llm import components, digest_index, labelled, line_dedup, ngram_join, packing, piece_codec, quality, token_counts, topk_search, toxicity, url_filter
+from sparkrisk.llm import components, digest_index, edit_pairs, labelled, line_dedup, ngram_join, packing, piece_codec, quality, token_counts, topk_search, toxicity, url_filter
 from sparkrisk.llm import pretokens as pt
 from sparkrisk.llm.queries import URL_RULES, tokenizer_path
 
@@ -366,6 +366,36 @@ def test_distance():
         assert all(line_dedup.within(a, b, k) == (helpers.distance(a, b) <= k) for k in (4, 6))
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "ab\u00e9\u6f22", "ab\U0001f600x"])
+def test_distances_of_many_pairs(monkeypatch, letters):
+    """All pairs at once, none one by one, in characters of one, two and four bytes."""
+    monkeypatch.setattr(edit_pairs, "POINTS_AT_ONCE", 500)
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(40)] + ["", letters[0] * 40]
+    texts += ["".join(rng.choices(x, k=1) * 2 + [x[3:]]) if len(x) > 3 else x for x in texts]
+    a, b = (np.array([rng.randrange(len(texts)) for _ in range(1500)]) for _ in range(2))
+    b[::2] = (a[::2] + 42) % len(texts)
+    most = np.array([rng.randrange(9) for _ in a])
+    want = [helpers.distance(texts[i], texts[j]) <= k for i, j, k in zip(a, b, most, strict=True)]
+    assert edit_pairs.Texts(texts).within(a, b, most).tolist() == want
+    assert 200 < sum(want) < 1300
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 0)
+    monkeypatch.setattr(line_dedup, "within", lambda *x: pytest.fail("pairs are compared one by one"))
+    late = line_dedup.late_of(a, b, np.arange(len(a)), most, texts)
+    assert late.tolist() == sorted({int(i) for i, near in zip(a, want, strict=True) if near})
+
+
+def test_distances_of_long_and_few_pairs(monkeypatch):
+    """Long lines, and few pairs, are compared one by one, with the same result."""
+    monkeypatch.setattr(line_dedup, "LONGEST_AT_ONCE", 20)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab", k=rng.randrange(30))) for _ in range(30)]
+    for n in (0, 3, 200):
+        a, b = (np.array([rng.randrange(len(texts)) for _ in range(n)], dtype=np.int64) for _ in range(2))
+        want = {int(i) for i, j in zip(a, b, strict=True) if helpers.distance(texts[i], texts[j]) <= 8}
+        assert line_dedup.late_of(a, b, np.zeros(n), np.full(n, 8), texts).tolist() == sorted(want)
+
+
 @pytest.mark.parametrize("per,most,longest", [(10, 64, 90), (30, 64, 270), (30, 2, 270), (30, 64, 900)])
 def test_line_dedup_threshold_grows(spark, monkeypatch, per, most, longest):
     """Lines of all lengths with edits around their threshold, against all pairs. With most = 2 nearly all segments count as common."""
