@@ -433,6 +433,30 @@ def test_segments_survive_edits():
             assert set(of[0]) & set(of[1])
 
 
+def test_segments_are_sent_in_ten_bytes():
+    """What is packed per bucket comes back, with 24 bits of the keys, in ten bytes for a segment."""
+    rng = np.random.default_rng(5)
+    key, ref = rng.integers(0, 1 << 63, 5_000, dtype=np.uint64) * np.uint64(2), rng.integers(0, 1 << 32, 5_000, dtype=np.uint32)
+    size, cell = rng.integers(60, 1 << 16, 5_000), rng.integers(0, 256, 5_000).astype(np.uint8)
+    buckets, strings = (c.to_pylist() for c in line_dedup.dealt(key, ref, size, cell, 64).columns)
+    assert sum(map(len, strings)) == 10 * len(key)
+    of = np.repeat(buckets, [len(x) // 10 for x in strings])
+    got = sorted(zip(of.tolist(), *(x.tolist() for x in line_dedup.unpacked(strings)), strict=True))
+    assert got == sorted(zip(((key >> np.uint64(32)) % np.uint64(64)).tolist(), (key & np.uint64((1 << 24) - 1)).tolist(), ref.tolist(), size.tolist(), cell.tolist(), strict=True))
+
+
+def test_segments_meet_before_other_tables_are_there(spark, monkeypatch):
+    """The step that takes the most disk finds no table of the other steps."""
+    from sparkrisk.llm import common
+
+    before, met, make = len(common.CUTS.paths), [], line_dedup.met_lines
+    monkeypatch.setattr(line_dedup, "met_lines", lambda *a: met.append(len(common.CUTS.paths) - before) or make(*a))
+    docs = [" ".join(f"w{k // 2}x{j}" for j in range(40)) + f" {k % 2}" for k in range(8)]
+    left = line_dedup.without_repeated_lines(frame(spark, docs), per=30)
+    assert met == [0] and left.where("n_dropped > 0").count() == 4
+    assert len(common.CUTS.paths) - before <= 1
+
+
 def test_line_dedup_of_short_and_blank_lines(spark):
     docs = ["Read more\nShare\nRead more\n\n  \n", "Read more\nShare\n\nown", "\n\n", "  \n "]
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.without_repeated_lines(frame(spark, docs), bits=1 << 16).collect()}
